@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabulon.llm import ngram_join
+from tabulon.llm import ngram_join, pii
 
 _MODULES = {
+    "op2_pii_bootstrap": pii,
     "op10_ngram_jaccard_join": ngram_join,
 }
 
