@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tabulon.llm import ngram_join, pii
+from tabulon.llm import mixing, ngram_join, pii
 
 _MODULES = {
     "op2_pii_bootstrap": pii,
+    "op3_mix_sources": mixing,
     "op10_ngram_jaccard_join": ngram_join,
 }
 
