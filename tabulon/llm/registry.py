@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tabulon.llm import mixing, ngram_join, pii
+from tabulon.llm import mixing, ngram_join, pii, quality
 
 _MODULES = {
     "op2_pii_bootstrap": pii,
     "op3_mix_sources": mixing,
+    "op4_line_quality": quality,
     "op10_ngram_jaccard_join": ngram_join,
 }
 
