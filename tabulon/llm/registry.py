@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tabulon.llm import license_scan, mixing, ngram_join, pii, quality
+from tabulon.llm import license_scan, mixing, ngram_join, pii, quality, sharding
 
 _MODULES = {
     "op2_pii_bootstrap": pii,
     "op3_mix_sources": mixing,
     "op4_line_quality": quality,
     "op5_license_minhash": license_scan,
+    "op6_stratified_shards": sharding,
     "op10_ngram_jaccard_join": ngram_join,
 }
 
