@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import license_scan, mixing, ngram_join, pii, quality, sharding
+from tabulon.llm import license_scan, mixing, ngram_join, pii, quality, secret_scan, sharding
 
 _MODULES = {
     "op2_pii_bootstrap": pii,
@@ -10,6 +10,7 @@ _MODULES = {
     "op4_line_quality": quality,
     "op5_license_minhash": license_scan,
     "op6_stratified_shards": sharding,
+    "op7_secret_ownership": secret_scan,
     "op10_ngram_jaccard_join": ngram_join,
 }
 
