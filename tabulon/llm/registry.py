@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import license_scan, mixing, ngram_join, pii, quality, secret_scan, sharding
+from tabulon.llm import license_scan, line_dedup, mixing, ngram_join, pii, quality, secret_scan, sharding
 
 _MODULES = {
     "op2_pii_bootstrap": pii,
@@ -11,6 +11,7 @@ _MODULES = {
     "op5_license_minhash": license_scan,
     "op6_stratified_shards": sharding,
     "op7_secret_ownership": secret_scan,
+    "op8_fuzzy_lines": line_dedup,
     "op10_ngram_jaccard_join": ngram_join,
 }
 
