@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import license_scan, line_dedup, mixing, ngram_join, pii, quality, secret_scan, sharding
+from tabulon.llm import license_scan, line_dedup, mixing, ngram_join, packing, pii, quality, secret_scan, sharding
 
 _MODULES = {
     "op2_pii_bootstrap": pii,
@@ -12,6 +12,7 @@ _MODULES = {
     "op6_stratified_shards": sharding,
     "op7_secret_ownership": secret_scan,
     "op8_fuzzy_lines": line_dedup,
+    "op9_cutting_stock": packing,
     "op10_ngram_jaccard_join": ngram_join,
 }
 
