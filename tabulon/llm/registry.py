@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabulon.llm import license_scan, line_dedup, mixing, ngram_join, packing, pii, quality, secret_scan, sharding
+from tabulon.llm import embedding_dedup, license_scan, line_dedup, mixing, ngram_join, packing, pii, quality, secret_scan, sharding
 
 _MODULES = {
+    "op1_nn_descent": embedding_dedup,
     "op2_pii_bootstrap": pii,
     "op3_mix_sources": mixing,
     "op4_line_quality": quality,
