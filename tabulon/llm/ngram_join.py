@@ -7,8 +7,8 @@ matrix, so the shuffle moves packed integers and not rows. The join is exact up
 2. `frequent`: a first product with a vector of ones gives every n-gram's document frequency. Frequent n-grams come last in the order.
 3. `prefixes`: two sets with Jaccard >= t share an n-gram among the first n - ceil(t n) + 1 of each in any common order, so only these are multiplied.
 4. In a block, the rare n-grams' products are summed per pair of classes; a pair goes on if the sum reaches the bound that both sizes imply.
-   A frequent n-gram can still be in a prefix, where a text is made of little else. Its classes link to the least one of similar size first, and
-   once components are known, only pairs across components are compared: those within one can't change the result.
+   A frequent n-gram can still be in a prefix, where a text is made of little else. Its classes meet the least one of similar size first, and
+   groups that hang together so are compared across the components found, block by block: pairs within a component can't change the result.
 5. Candidates are verified on their whole sets, and the verified links' components are found by contraction.
 """
 
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.llm import blocks as blocks_
 from tabulon.llm import graph, textkernels
 from tabulon.llm.common import Scratch, checked_broadcast, documents, partitions
 
@@ -125,11 +126,14 @@ _HEAD = np.dtype([("set", "<i8"), ("n", "<u4"), ("slack", "<u4"), ("count", "<u4
 
 
 def prefixes(docs: DataFrame, blocks: int, common, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Cells (block, cell) of the prefixes' incidence; `common` is the broadcast sorted array of frequent n-grams."""
+    """Cells (block, cell) of the prefixes' incidence; `common` is the broadcast pair of arrays of the frequent n-grams, sorted, and their frequencies.
+
+    The order of n-grams is: rare ones by hash, then frequent ones from the least frequent on.
+    """
     mask, flag = np.uint64((1 << 8 * SHORT) - 1), np.uint64(1 << 63)
 
     def run(batches):
-        table = common.value
+        table, df = common.value
         held, size = {}, 0
         for batch in batches:
             for _, s in textkernels.shingle_sets(batch.column(0), width):
@@ -141,7 +145,11 @@ def prefixes(docs: DataFrame, blocks: int, common, width: int = WIDTH, percent:
                 often = (at < len(table)) & (table[np.minimum(at, len(table) - 1)] == short) if len(table) else np.zeros(n, bool)
                 length = n - _ceil_share(n, percent) + 1
                 rare = s[~often][:length]
-                late = s[often][: length - len(rare)]
+                late = s[often]
+                if len(rare) < length:
+                    late = late[np.lexsort((late, df[at[often]]))][: length - len(rare)]
+                else:
+                    late = late[:0]
                 head = np.zeros(1, _HEAD)
                 head["set"], head["n"], head["slack"] = _set_id(s), n, n - length + len(late)
                 h = np.concatenate([rare & ~flag, late | flag])
@@ -149,7 +157,7 @@ def prefixes(docs: DataFrame, blocks: int, common, width: int = WIDTH, percent:
                 order = np.argsort(by, kind="stable")
                 by, h = by[order], h[order]
                 cut = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
-                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), n if n < 0 else len(h)], strict=True):
+                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(h)], strict=True):
                     head["count"] = b - a
                     held.setdefault(int(by[a]), []).append(head.tobytes() + h[a:b].tobytes())
                     size += 20 + 8 * (b - a)
@@ -189,7 +197,7 @@ def _entries(cells: list[np.ndarray]):
 
 
 def multiply(cells: DataFrame, blocks: int, percent: int = PERCENT) -> DataFrame:
-    """Of each block: rare n-grams' pair sums (kind 0: a, b, their sizes and slacks, overlap), and frequent n-grams' classes (kind 1: a = n-gram, b = set, na = size)."""
+    """Of each block: rare n-grams' pair sums (kind 0: a, b, their sizes and slacks, overlap), and frequent n-grams' classes (kind 1: a = n-gram, b = set, na = size, sa = frequent n-grams that the set has)."""
     names = ["kind", "a", "b", "na", "nb", "sa", "sb", "overlap"]
 
     def out(kind, *columns):
@@ -206,7 +214,7 @@ def multiply(cells: DataFrame, blocks: int, percent: int = PERCENT) -> DataFrame
             often = h >> np.uint64(63) == 1
             zero = np.zeros(int(often.sum()), np.int64)
             if often.any():
-                yield out(1, h[often].view(np.int64), sets[often], n[often], zero, zero, zero, zero)
+                yield out(1, h[often].view(np.int64), sets[often], n[often], zero, slack[often], zero, zero)
             h, sets, n, slack = (x[~often] for x in (h, sets, n, slack))
             if not len(h):
                 continue
@@ -232,8 +240,8 @@ def multiply(cells: DataFrame, blocks: int, percent: int = PERCENT) -> DataFrame
     return cells.repartition(blocks, "block").mapInArrow(run, "kind int, a long, b long, na long, nb long, sa long, sb long, overlap long")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Those pairs (a, b: set ids) whose whole sets reach the similarity. classes: set_id and the doc_id that stands for it."""
+def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: int = WIDTH) -> DataFrame:
+    """set_id and grams (packed) of the classes in wanted (set_id). classes: set_id and the doc_id that stands for it."""
 
     def sets(batches):
         for batch in batches:
@@ -243,11 +251,22 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int = W
                 blobs.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["set_id", "grams"])
 
+    reps = wanted.distinct().join(classes, "set_id").select(F.col("rep").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(checked_broadcast(reps), "doc_id", "left_semi").select("text")
+    return texts.mapInArrow(sets, "set_id long, grams binary").dropDuplicates(["set_id"])
+
+
+def _unpack(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those pairs (a, b: set ids) whose whole sets reach the similarity."""
+
     def judge(batches):
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for x, y in zip(*map(_unpack, batch.columns[2:]), strict=True):
                 if len(x) > len(y):
                     x, y = y, x
                 common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
@@ -255,10 +274,7 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int = W
             kept = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes, "set_id").select(F.col("rep").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(checked_broadcast(wanted), "doc_id", "left_semi").select("text")
-    found = texts.mapInArrow(sets, "set_id long, grams binary").dropDuplicates(["set_id"])
-    left, right = (found.select(F.col("set_id").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
+    left, right = (sets.select(F.col("set_id").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(judge, "a long, b long")
 
 
@@ -279,20 +295,26 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     least = FREQUENT
     while (many := often.where(F.col("df") >= least).count()) > FREQUENT_MOST:
         least *= 2
-    table = np.sort(np.array([r[0] for r in often.where(F.col("df") >= least).select("h").toLocalIterator()] if many else [], np.uint64))
-    common = spark.sparkContext.broadcast(table)
+    table = often.where(F.col("df") >= least).select("h", "df").toArrow()
+    table, df = table.column("h").to_numpy().astype(np.uint64), table.column("df").to_numpy()
+    order = np.argsort(table)
+    common = spark.sparkContext.broadcast((table[order], df[order]))
     product = scratch.save(multiply(prefixes(docs, blocks, common, width, percent), blocks, percent), "product")
     sums = product.where("kind = 0").groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("na", "nb", "sa", "sb")), F.sum("overlap").alias("overlap"))
     # |A and B| >= percent / (100 + percent) * (|A| + |B|), and what the prefixes don't show is at most the larger slack
     candidates = sums.where(f"(overlap + greatest(sa, sb)) * {100 + percent} >= {percent} * (na + nb)").select("a", "b")
-    shared = product.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("set"), F.col("na").alias("n"))
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))  # classes of a band or of neighbouring ones can have the similarity
-    stars = shared.withColumn("band", band)
-    stars = stars.join(stars.groupBy("gram", "band").agg(F.min("set").alias("lead")), ["gram", "band"]).where("set <> lead").select(F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b"))
+    shared = product.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("set"), F.col("na").alias("n"), F.col("sa").alias("frequent"))
+    # where frequent n-grams are in a prefix all rare ones are too, so a pair without a common rare one overlaps in frequent ones at most
+    stars = shared.join(shared.groupBy("gram").agg(F.min("set").alias("lead")), "gram").where("set <> lead").select(F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b"))
+    stars = scratch.save(stars.distinct(), "stars")
     first = scratch.save(candidates.unionByName(stars).distinct(), "candidates")
-    links = scratch.save(verify(docs, first, classes, width, percent), "links")
-    if not shared.isEmpty():
-        links = links.unionByName(scratch.save(verify(docs, across(scratch, shared, links, percent), classes, width, percent), "links"))
+    sets = scratch.save(sets_of(docs, first.select(F.explode(F.array("a", "b")).alias("set_id")), classes, width), "sets")
+    links = scratch.save(verify(first, sets, percent), "links")
+    if not stars.isEmpty():
+        groups = graph.components(scratch, stars).select(F.col("node").alias("set_id"), F.col("component").alias("gid"))
+        found = graph.components(scratch, links).select(F.col("node").alias("set_id"), "component")
+        members = groups.join(found, "set_id", "left").join(sets, "set_id").select("gid", F.col("set_id").alias("node"), F.coalesce("component", "set_id").alias("component"), F.col("grams").alias("load"))
+        links = links.unionByName(scratch.save(blocks_.link_across(members, _unpack, percent), "links"))
     reps = graph.components(scratch, links)
     labels = classes.join(reps.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component"), "rep")
     least_doc = labels.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -302,20 +324,5 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     return out.unionByName(lost)
 
 
-def across(scratch: Scratch, shared: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a frequent n-gram, can have the similarity by size, and lie in different components so far.
-
-    The classes outside an n-gram's largest component meet all others of it; the largest one's own pairs need no look.
-    """
-    found = graph.components(scratch, links)
-    known = shared.join(found.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    size = known.groupBy("gram", "component").agg(F.count("*").alias("k"))
-    main = size.groupBy("gram").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    known = scratch.save(known.join(main, "gram"), "across")
-    few = known.where("component <> main").select("gram", F.col("set").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    near = (F.col("cx") != F.col("component")) & (100 * F.col("nx") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("nx"))
-    return few.join(known, "gram").where(near).select(F.least("x", "set").alias("a"), F.greatest("x", "set").alias("b")).distinct()
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(documents(spark, sf_dir))
