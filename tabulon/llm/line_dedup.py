@@ -2,8 +2,8 @@
 
 A line's signature comes from one permutation: the hash of every shingle falls into one of BINS and each bin keeps its least; empty bins borrow from
 the next filled one. BANDS bands of ROWS bins put lines with a similarity of 0.75 together with probability 1 - (1 - 0.75**3)**10 = 0.996. In a
-bucket, every line is compared with the bucket's least; when components are known, lines of a bucket that lie in different ones
-are compared too, so no bucket is capped and a group of copies is never expanded into all its pairs.
+bucket, every line is compared with the bucket's least; lines that hang together by buckets but lie in different components then are
+compared in blocks, so no bucket is capped and a group of copies is never expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import graph, textkernels
+from tabulon.llm import blocks, graph, textkernels
 from tabulon.llm.common import Scratch, checked_broadcast, documents
 
 SHINGLE, PERCENT = 5, 75
@@ -106,20 +106,25 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, number int, line long, bands array<long>")
 
 
+def _grams(t: str) -> set:
+    return {t[i : i + SHINGLE] for i in range(max(len(t) - SHINGLE + 1, 1))}
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    return [np.array([hash(g) for g in _grams(t)], np.int64).view(np.uint64) for t in column.to_pylist()]
+
+
 def similar(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those pairs (a, b) of lines whose sets of SHINGLE characters have the Jaccard similarity. texts: line and its text."""
 
-    def grams(t: str) -> set:
-        return {t[i : i + SHINGLE] for i in range(max(len(t) - SHINGLE + 1, 1))}
-
     def run(batches):
         last, known = None, set()
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if x != last:
-                    last, known = x, grams(x)
-                other = grams(y)
+                    last, known = x, _grams(x)
+                other = _grams(y)
                 common = len(known & other)
                 ok.append(100 * common >= percent * (len(known) + len(other) - common))
             kept = batch.filter(pa.array(ok, pa.bool_()))
@@ -145,14 +150,10 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     stars = shared.where("line <> lead").select(F.col("lead").alias("a"), F.col("line").alias("b")).distinct()
     stars = scratch.save(stars, "stars")
     links = scratch.save(similar(stars, texts), "links")
-    known = shared.join(graph.components(scratch, links).select(F.col("node").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
-    sizes = known.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    known = scratch.save(known.join(main, "bucket").select("bucket", "line", "component", "main"), "across")
-    few = known.where("component <> main").select("bucket", F.col("line").alias("x"), F.col("component").alias("cx"))
-    more = few.join(known, "bucket").where("cx <> component").select(F.least("x", "line").alias("a"), F.greatest("x", "line").alias("b")).distinct()
-    more = more.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.unionByName(scratch.save(similar(more, texts), "links"))
+    groups = graph.components(scratch, stars).select(F.col("node").alias("line"), F.col("component").alias("gid"))
+    found = graph.components(scratch, links).select(F.col("node").alias("line"), "component")
+    members = groups.join(found, "line", "left").join(texts, "line").select("gid", F.col("line").alias("node"), F.coalesce("component", "line").alias("component"), F.col("text").alias("load"))
+    links = links.unionByName(scratch.save(blocks.link_across(members, _sets, PERCENT), "links"))
     labels = graph.components(scratch, links)
     placed = lines.select("doc_id", "key", "number", "line").join(labels.select(F.col("node").alias("line"), "component"), "line", "left").select("doc_id", "key", "number", F.coalesce("component", "line").alias("component"))
     kept = placed.groupBy("component").agg(first.alias("f"), F.count("*").alias("n")).where("n > 1")
