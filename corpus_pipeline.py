@@ -2,14 +2,61 @@
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
 
-#: The stages that hash, link and pack can't be expressed in SQL; tests hold the pipeline against a brute-force version.
+from tabulon.llm import line_dedup, mixing, ngram_join, packing, quality
+from tabulon.llm.common import Scratch, checked_broadcast, documents
+
+
+def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, without the lines that fail."""
+    return quality.clean(docs)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier one has, exactly or nearly."""
+    return line_dedup.remove_lines(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each group linked by n-gram similarity; of rows with one doc_id and text, one; rows without doc_id stay."""
+    scratch = Scratch(spark)
+    labels = scratch.save(ngram_join.ngram_join(docs), "labels")
+    gone = scratch.save(labels.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    if labels.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL")).join(checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", clean_lines),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Hashing, linking and packing can't be expressed in SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir, each one's result written as Parquet and read again for the next."""
+    scratch = Scratch(spark)
+    docs, before = documents(spark, sf_dir), None
+    for name, stage in STAGES:
+        done = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            scratch.drop(before)
+        docs = before = done
     return docs
