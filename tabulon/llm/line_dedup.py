@@ -1,9 +1,9 @@
 """Fuzzy line dedup: character-shingle MinHash, banding, exact Jaccard verification, components; one line of each stays.
 
 A line's signature comes from one permutation: the hash of every shingle falls into one of BINS and each bin keeps its least; empty bins borrow from
-the next filled one. BANDS bands of ROWS bins put lines with a similarity of 0.75 together with probability 1 - (1 - 0.75**3)**10 = 0.996. In a
-bucket, every line is compared with the bucket's least; lines that hang together by buckets but lie in different components then are
-compared in blocks, so no bucket is capped and a group of copies is never expanded into all its pairs.
+the next filled one. BANDS bands of ROWS bins put lines with a similarity of 0.75 together with probability 1 - (1 - 0.75**4)**12 = 0.99, of 0.8 with
+0.998. A bucket's lines hang together by its least one, its lead. Every line is compared with the lead that most of its bands have; lines that
+hang together but then lie in different components are compared in blocks, so no bucket is capped and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -14,16 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import blocks, graph, textkernels
-from tabulon.llm.common import Scratch, checked_broadcast, documents
+from tabulon.llm.common import Scratch, checked_broadcast, documents, partitions
 
 SHINGLE, PERCENT = 5, 75
-BINS, BANDS, ROWS = 32, 10, 3
+BINS, BANDS, ROWS = 64, 12, 4
+#: Rows of a task that looks for lines with equal bands.
+PART = 600_000
 _BLANK = (0x20, 9, 10, 11, 12, 13)
 
 
 def signatures(shingles: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """n x BANDS band hashes; owner tells each shingle's line (all of 0 to n - 1 occur)."""
-    key = (owner.astype(np.uint64) << np.uint64(37)) | (shingles >> np.uint64(27))
+    key = (owner.astype(np.uint64) << np.uint64(38)) | (shingles >> np.uint64(26))
     key.sort()
     place = key >> np.uint64(32)
     first = np.r_[True, place[1:] != place[:-1]]
@@ -94,18 +96,49 @@ def lines_of(column: pa.Array):
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
-    """doc_id, key, number, line (hash) and bands of every line with a word; rows: doc_id, key, text."""
+    """doc_id, key, number, line (hash) and bands of every line with a word, bands only where a line comes first in a run of texts; rows: doc_id, key, text."""
 
     def run(batches):
         for batch in batches:
             for text, number, h, bands in lines_of(batch.column(2)):
                 at = pa.array(text)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
+                first = np.zeros(len(h), bool)
+                first[np.unique(h, return_index=True)[1]] = True
+                bounds = np.r_[0, np.cumsum(first)].astype(np.int32) * BANDS
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(bands[first].view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(h.view(np.int64)), lists], ["doc_id", "key", "number", "line", "bands"])
 
     return rows.mapInArrow(run, "doc_id long, key long, number int, line long, bands array<long>")
 
 
+def _leads(lines: DataFrame) -> DataFrame:
+    """lead, line and n (bands) of lines that share a bucket with a lesser line, its lead.
+
+    Buckets are sorted within partitions and read as a stream that holds one lead, so a bucket of any size takes no memory.
+    """
+    rows = lines.select(F.explode("bands").alias("bucket"), "line")
+    parts = partitions(lines.sparkSession, lines.count() * BANDS, PART)
+
+    def run(batches):
+        bucket, lead = None, None
+        for batch in batches:
+            b, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(b):
+                continue
+            start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+            leads = x[start].copy()
+            if b[0] == bucket:
+                leads[0] = lead
+            bucket, lead = b[-1], leads[-1]
+            every = np.repeat(leads, np.diff(np.r_[start, len(b)]))
+            ok = every != x
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(every[ok]), pa.array(x[ok])], ["lead", "line"])
+
+    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "line")
+    return dealt.mapInArrow(run, "lead long, line long").groupBy("lead", "line").agg(F.count("*").alias("n"))
+
+
 def _grams(t: str) -> set:
     return {t[i : i + SHINGLE] for i in range(max(len(t) - SHINGLE + 1, 1))}
 
@@ -139,17 +172,15 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text").where("text IS NOT NULL")
     lines = scratch.save(_occurrences(rows), "lines")
-    buckets = lines.select(F.explode("bands").alias("bucket"), "line")
-    groups = buckets.groupBy("bucket").agg(F.min("line").alias("lead"), F.max("line").alias("most")).where("lead < most").select("bucket", "lead")
-    shared = scratch.save(buckets.join(groups, "bucket").distinct(), "buckets")
+    leads = scratch.save(_leads(lines), "leads")
     first = F.min(F.struct("doc_id", "key", "number"))
-    wanted = lines.select("line", "doc_id", "key", "number").join(shared.select("line").distinct(), "line", "left_semi").groupBy("line").agg(first.alias("f"))
+    wanted = lines.select("line", "doc_id", "key", "number").join(leads.select(F.explode(F.array("lead", "line")).alias("line")).distinct(), "line", "left_semi").groupBy("line").agg(first.alias("f"))
     by_doc = scratch.save(wanted.groupBy("f.doc_id", "f.key").agg(F.collect_list(F.struct(F.col("f.number").alias("number"), "line")).alias("at")), "places")
     full = rows.alias("r").join(checked_broadcast(by_doc).alias("d"), F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.key") == F.col("d.key"))).select(F.split("text", "\n", -1).alias("parts"), F.explode("at").alias("p"))
     texts = scratch.save(full.select("p.line", F.get("parts", "p.number").alias("text")).dropDuplicates(["line"]), "texts")
-    stars = shared.where("line <> lead").select(F.col("lead").alias("a"), F.col("line").alias("b")).distinct()
-    stars = scratch.save(stars, "stars")
+    stars = leads.groupBy("line").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead")).select(F.col("lead").alias("a"), F.col("line").alias("b"))
     links = scratch.save(similar(stars, texts), "links")
+    stars = leads.select(F.col("lead").alias("a"), F.col("line").alias("b"))
     groups = graph.components(scratch, stars).select(F.col("node").alias("line"), F.col("component").alias("gid"))
     found = graph.components(scratch, links).select(F.col("node").alias("line"), "component")
     members = groups.join(found, "line", "left").join(texts, "line").select("gid", F.col("line").alias("node"), F.coalesce("component", "line").alias("component"), F.col("text").alias("load"))
