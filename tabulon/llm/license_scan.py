@@ -45,7 +45,16 @@ def shingles_of(words: Column) -> Column:
 
 def bands_of(shingles: Column) -> Column:
     """(band, least hash) of each band's own hash function."""
-    return F.array(*(F.struct(F.lit(b).alias("band"), F.array_min(F.transform(shingles, lambda h, b=b: F.xxhash64(h, F.lit(b)))).alias("least")) for b in range(BANDS)))
+    def least(b: int) -> Column:
+        return F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(b))))
+
+    return F.array(*(F.struct(F.lit(b).alias("band"), least(b).alias("least")) for b in range(BANDS)))
+
+
+def windows_of(shingles: str, length: int) -> Column:
+    """(length, first word, distinct shingles) of windows of twice the length, every length."""
+    window = lambda i: F.struct(F.lit(length).alias("length"), (i * length).alias("word"), F.array_distinct(F.slice(shingles, i * length + 1, F.lit(2 * length))).alias("window"))
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(shingles) - 1) / length).cast("int")), window)
 
 
 def gate(templates: dict[str, str]) -> str:
@@ -94,8 +103,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), text.alias("text"))
     held = rows.where(F.col("text").rlike(gate(templates))).select("key", words_of(F.col("text")).alias("words"))
     held = held.dropDuplicates(["key"]).select("key", shingles_of(F.col("words")).alias("all")).where(F.size("all") > 0)
-    cut = [F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / c).cast("int")), lambda i, c=c: F.struct(F.lit(c).alias("length"), (i * c).alias("word"), F.array_distinct(F.slice("all", i * c + 1, F.lit(2 * c))).alias("window"))) for c in classes]
-    windows = scratch.save(held.select("key", F.explode(F.concat(*cut)).alias("w")).select("key", "w.*"), "windows")
+    windows = scratch.save(held.select("key", F.explode(F.concat(*(windows_of("all", c) for c in classes))).alias("w")).select("key", "w.*"), "windows")
     bands = windows.select("key", "length", "word", F.explode(bands_of(F.col("window"))).alias("b")).select("key", "length", "word", "b.*")
     # the templates are a fixed list, a row per band of each
     retrieve = F.broadcast(known.select("license", "length", F.explode("bands").alias("b")).select("license", "length", "b.*"))
