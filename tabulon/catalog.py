@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tabulon.queries import arrays, elementwise
+
+MODULES = (elementwise, arrays)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
