@@ -1,7 +1,7 @@
 """Fuzzy line dedup: character-shingle MinHash, banding, exact Jaccard verification, components; one line of each stays.
 
 A line's signature comes from one permutation: the hash of every shingle falls into one of BINS and each bin keeps its least; empty bins borrow from
-the next filled one. BANDS bands of ROWS bins put lines with a similarity of 0.75 together with probability 1 - (1 - 0.75**4)**12 = 0.99, of 0.8 with
+the next filled one, so a band's bins lie far apart: neighbours would often be one shingle's. BANDS bands of ROWS bins put lines with a similarity of 0.75 together with probability 1 - (1 - 0.75**4)**12 = 0.99, of 0.8 with
 0.998. A bucket's lines hang together by its least one, its lead. Every line is compared with the lead that most of its bands have; lines that
 hang together but then lie in different components are compared in blocks, so no bucket is capped and no group is expanded into all its pairs.
 """
@@ -46,7 +46,7 @@ def signatures(shingles: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     for b in range(BANDS):
         h = np.full(n, b + 1, np.uint64) * textkernels._SLOT[5]
         for j in range(ROWS):
-            h += least[:, b * ROWS + j] * textkernels._SLOT[j]
+            h += least[:, b + j * (BINS // ROWS)] * textkernels._SLOT[j]
         bands[:, b] = textkernels.mix(h)
     return bands
 
