@@ -1,8 +1,8 @@
 """Fuzzy line dedup: character-shingle MinHash, banding, exact Jaccard verification, components; one line of each stays.
 
 A line's signature comes from one permutation: the hash of every shingle falls into one of BINS and each bin keeps its least; empty bins borrow from
-the next filled one, so a band's bins lie far apart: neighbours would often be one shingle's. BANDS bands of ROWS bins put lines with a similarity of 0.75 together with probability 1 - (1 - 0.75**4)**12 = 0.99, of 0.8 with
-0.998. A bucket's lines hang together by its least one, its lead. Every line is compared with the lead that most of its bands have; lines that
+the next filled one, so a band's bins lie far apart: neighbours would often be one shingle's. BANDS bands of ROWS bins put lines with a similarity of 0.75 together with probability 1 - (1 - 0.75**4)**16 = 0.998, of 0.8 with
+0.9997. A bucket's lines hang together by its least one, its lead. Every line is compared with the lead that most of its bands have; lines that
 hang together but then lie in different components are compared in blocks, so no bucket is capped and no group is expanded into all its pairs.
 """
 
@@ -17,7 +17,7 @@ from tabulon.llm import blocks, graph, textkernels
 from tabulon.llm.common import Scratch, checked_broadcast, documents, partitions
 
 SHINGLE, PERCENT = 5, 75
-BINS, BANDS, ROWS = 64, 12, 4
+BINS, BANDS, ROWS = 64, 16, 4
 #: Rows of a task that looks for lines with equal bands.
 PART = 600_000
 _BLANK = (0x20, 9, 10, 11, 12, 13)
