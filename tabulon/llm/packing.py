@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tabulon.llm.common import Scratch, bucket_count, documents, hash_bucket, in_buckets
 
 LENGTH, END_ID, STEP = 4096, 2, 16
-#: Words whose ids a task remembers (about 100 MB).
-REMEMBERED = 300_000
+#: Words whose ids a task remembers (about 200 MB).
+REMEMBERED = 1_000_000
 #: Rounds of the linear program at most; its patterns are usable after each.
 COLUMNS = 2000
 #: The program ends when its sequences are at most so much over the optimum (the best price bounds it).
@@ -35,14 +35,30 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds:
-    """Token ids of whole texts, as little-endian 32-bit bytes. This tokenizer drops white space and never joins words across it, so ids are kept by word."""
+class WordIds(dict):
+    """Token ids of words, as little-endian 32-bit bytes, and of whole texts.
+
+    This tokenizer drops white space and never joins words across it, so ids are kept by word. It lowers case first, and marks behind a letter
+    or digit are a token run of their own, so a capitalized word or one with a mark is put together from what is known.
+    """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encoder, self.known = Tokenizer.from_file(path), {}
+        self.encoder, self.end = Tokenizer.from_file(path), np.array([END_ID], "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        bare = word.rstrip(".,;:!?")
+        if bare and bare != word and bare[-1].isalnum():
+            ids = self[bare] + self[word[len(bare) :]]
+        elif word.isascii() and (low := word.lower()) != word and "|" not in word:
+            ids = self[low]
+        else:
+            ids = np.array(self.encoder.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
     def words(self, text: str) -> list[str]:
         # str.split also splits at four control characters that the tokenizer takes as symbols
@@ -52,18 +68,10 @@ class WordIds:
             return regex.findall(r"\P{White_Space}+", text)
         return text.split()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for w, e in zip(part, self.encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        end = np.array([END_ID], "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+    def encode(self, text: str) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        return b"".join([self[w] for w in self.words(text)]) + self.end
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -78,19 +86,11 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
         encoder = _ENCODERS[path]
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            counts, crcs, at = [], [], 0
-            while at < len(texts):
-                # about a megabyte of text at a time
-                to, size = at, 0
-                part = []
-                while to < len(texts) and size < 1 << 20:
-                    part.append(texts[to].as_py() or "")
-                    size += len(part[-1])
-                    to += 1
-                for data in encoder.encode(part):
-                    counts.append(len(data) // 4)
-                    crcs.append([zlib.crc32(data[a : a + 4 * LENGTH]) for a in range(0, len(data), 4 * LENGTH)])
-                at = to
+            counts, crcs = [], []
+            for text in texts:
+                data = encoder.encode(text.as_py() or "")
+                counts.append(len(data) // 4)
+                crcs.append([zlib.crc32(data[a : a + 4 * LENGTH]) for a in range(0, len(data), 4 * LENGTH)])
             yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>")
