@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabulon.queries import arrays, elementwise
+from tabulon.queries import algorithms, arrays, elementwise
 
-MODULES = (elementwise, arrays)
+MODULES = (elementwise, arrays, algorithms)
 
 
 def queries() -> dict:

@@ -15,8 +15,7 @@ def _gl(n: int):
 
 
 def _each(f):
-    g = np.frompyfunc(f, 1, 1)
-    return lambda x: g(x).astype(float)
+    return lambda x: np.array([f(v) for v in np.ravel(x)], float).reshape(np.shape(x))
 
 
 def _safe(f):

@@ -60,6 +60,7 @@ def block_matmul(a: Tensor, b: Tensor, side: int = SIDE) -> Tensor:
     """Dense product by blocks: block rows and block columns meet in a join, products are summed per result block."""
     left, right = _blocks(a, "r", "k", side), _blocks(b, "k", "c", side).withColumnRenamed("m", "n")
     met = left.join(right, "k").select("r", "c", "m", "n")
+    height, width = a.shape[0], b.shape[1]
 
     def multiply(batches):
         for batch in batches:
@@ -72,7 +73,7 @@ def block_matmul(a: Tensor, b: Tensor, side: int = SIDE) -> Tensor:
         total = np.sum([np.frombuffer(m) for m in pdf["m"]], axis=0).reshape(side, side)
         i, j = np.indices(total.shape)
         out = pd.DataFrame({"i0": (key[0] * side + i).ravel(), "i1": (key[1] * side + j).ravel(), "v": total.ravel()})
-        return out[(out.i0 < a.shape[0]) & (out.i1 < b.shape[1])]
+        return out[(out.i0 < height) & (out.i1 < width)]
 
     summed = met.mapInArrow(multiply, "r long, c long, m binary").groupBy("r", "c").applyInPandas(add, "i0 long, i1 long, v double")
     return Tensor(summed, (a.shape[0], b.shape[1]))

@@ -85,7 +85,8 @@ class Tensor:
 
     def to_vec(self) -> list[float]:
         """All values in row-major order; for small arrays."""
-        return [r[0] for r in self.df.orderBy(*self.index).select("v").collect()]
+        rows = self.df.orderBy(*self.index) if self.rank else self.df
+        return [r[0] for r in rows.select("v").collect()]
 
     def item(self) -> float:
         if prod(self.shape) != 1:

@@ -43,7 +43,7 @@ for _name, _a, _b, _sql in [
 ]:
     _register(f"binary_{_name}", [_a, _b], E.BINARY[_name], _sql, 12 if _name == "mul" else 8)
 _register("binary_fused_mul_add", [X, P, Q], E.fused_mul_add, "$0 * $1 + $2", 12)
-_register("binary_fused_add_mul", [X, P, Q], E.fused_add_mul, "($0 + $1) * $2", 12)
+_register("binary_fused_add_mul", [X, P, Q], E.fused_add_mul, "($0 + $1) * $2")
 
 for _name, _sql in [("add_scalar", "$0 + 2.5"), ("sub_scalar", "$0 - 2.5"), ("mul_scalar", "$0 * 2.5"), ("div_scalar", "$0 / 2.5"), ("pow_scalar", "pow($0, 2.5)"), ("rsub_scalar", "2.5 - $0")]:
     _register(f"scalar_{_name}", [P], (lambda n: lambda v: E.SCALAR[n](v, 2.5))(_name), _sql)
@@ -71,7 +71,7 @@ _TD = "((exp(2 * 0.7978845608028654 * ($0 + 0.044715 * $0 * $0 * $0)) - 1) / (ex
 _ACT = {"relu": "greatest($0, 0.0)", "sigmoid": _S, "silu": f"$0 * {_S}", "gelu": f"0.5 * $0 * (1 + {_TD})"}
 for _name, _sql in _ACT.items():
     _register(f"activation_{_name}", [X], getattr(E, _name), _sql)
-    _register(f"activation_{_name}_mul", [X, P], getattr(E, f"{_name}_mul"), f"({_sql}) * $1", 12)
+    _register(f"activation_{_name}_mul", [X, P], getattr(E, f"{_name}_mul"), f"({_sql}) * $1", 12 if _name == "relu" else 8)
 _register("activation_leaky_relu", [X], lambda v: E.leaky_relu(v, 0.1), "CASE WHEN $0 > 0 THEN $0 ELSE $0 * 0.1 END")
 _register("activation_elu", [X], lambda v: E.elu(v, 1.5), "CASE WHEN $0 > 0 THEN $0 ELSE 1.5 * (exp($0) - 1) END")
 _register("activation_softplus", [X], E.softplus, "ln(1 + exp($0))")
