@@ -50,7 +50,10 @@ def assess(docs: DataFrame) -> DataFrame:
     these names are replaced.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_words", F.filter(F.split(text, BLANK + "+", -1), lambda w: w != ""))
+    inner = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    words = F.when(inner != "", F.split(inner, BLANK + "+", -1)).otherwise(F.array().cast("array<string>"))
+    # a word is hashed once; the windows then hash eight numbers
+    rows = docs.withColumn("_words", F.transform(words, lambda w: F.xxhash64(w)))
     rows = rows.withColumn("n_words", F.size("_words").cast("long"))
     n = F.col("n_words").cast("int")
     rows = rows.withColumn("_windows", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, F.lit(WINDOW))))))
