@@ -102,14 +102,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), text.alias("text"))
     held = rows.where(F.col("text").rlike(gate(templates))).select("key", words_of(F.col("text")).alias("words"))
-    held = held.dropDuplicates(["key"]).select("key", shingles_of(F.col("words")).alias("all")).where(F.size("all") > 0)
-    windows = scratch.save(held.select("key", F.explode(F.concat(*(windows_of("all", c) for c in classes))).alias("w")).select("key", "w.*"), "windows")
-    bands = windows.select("key", "length", "word", F.explode(bands_of(F.col("window"))).alias("b")).select("key", "length", "word", "b.*")
+    held = scratch.save(held.dropDuplicates(["key"]).select("key", shingles_of(F.col("words")).alias("all")).where(F.size("all") > 0), "held")
+    bands = held.select("key", F.explode(F.concat(*(windows_of("all", c) for c in classes))).alias("w")).select("key", "w.length", "w.word", F.explode(bands_of(F.col("w.window"))).alias("b")).select("key", "length", "word", "b.*")
     # the templates are a fixed list, a row per band of each
     retrieve = F.broadcast(known.select("license", "length", F.explode("bands").alias("b")).select("license", "length", "b.*"))
     pairs = bands.join(retrieve, ["length", "band", "least"]).select("key", "length", "word", "license").distinct()
-    whole = pairs.join(windows, ["key", "length", "word"]).join(F.broadcast(known.select("license", "shingles")), "license")
-    share = F.size(F.array_intersect("window", "shingles")) * 100.0 / F.size("shingles")
+    whole = pairs.join(held, "key").join(F.broadcast(known.select("license", "shingles")), "license")
+    window = F.slice("all", F.col("word") + 1, 2 * F.col("length"))
+    share = F.size(F.array_intersect(window, F.col("shingles"))) * 100.0 / F.size("shingles")
     found = whole.select("key", "license", "word", share.alias("containment")).where(F.col("containment") >= PERCENT)
     best = found.groupBy("key", "license").agg(F.max(F.struct("containment", (-F.col("word")).alias("back"))).alias("m"))
     best = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("license", (-F.col("m.back")).alias("word"), F.col("m.containment").alias("containment")))).alias("matches"))
