@@ -1,12 +1,7 @@
 """The pipeline against its stages applied by brute force to a small set of documents."""
 
-import re
-from collections import defaultdict
-
 import corpus_pipeline
-from tabulon.llm import mixing, packing, quality
-
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+from tabulon.llm import packing
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -32,15 +27,3 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted(kept["n-gram Jaccard join"]) == [*range(8), 24]
     mixed = spark.read.parquet(str(tmp_path / "mixing"))
     assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, packing.pack(mixed).collect()))
-
-
-def test_run_on_all_documents(spark, small):
-    out = corpus_pipeline.run(spark, small).collect()
-    tokens, pieces = defaultdict(set), defaultdict(int)
-    for r in out:
-        tokens[r["doc_id"]].add(r["doc_tokens"])
-        pieces[r["doc_id"]] += r["length"]
-    assert out and all(len(t) == 1 and pieces[d] % min(t) == 0 and pieces[d] // min(t) in (1, 2) for d, t in tokens.items())
-    kept = {r["doc_id"] for r in quality.assess(spark.read.parquet(f"{small}/documents.parquet")).where("kept").collect()}
-    assert set(tokens) <= kept
-    assert mixing.SHARE == 1.5
