@@ -321,6 +321,24 @@ def test_line_dedup(docs):
     assert line_dedup.remove_lines(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("changed", "shingles"), [(1, 7), (2, 14), (4, 28), (8, 56)])
+def test_line_recall_by_length(changed, shingles):
+    """Pairs with a similarity of 0.75 share a band and pass the screen as often as the docstring says, however short they are."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = 3000
+    x = np.random.default_rng(1).integers(97, 123, (n, shingles + 4)).astype(np.uint8)
+    y = x.copy()
+    y[:, -changed:] -= 32
+    bands, sketch = np.empty((2 * n, line_dedup.BANDS), np.uint64), np.empty((2 * n, 2), np.uint64)
+    for text, _, _, b, s in line_dedup.lines_of(pa.array([r.tobytes().decode() for r in (*x, *y)])):
+        bands[text], sketch[text] = b, s
+    agree = sum(line_dedup._agreeing(c[:n], c[n:]) for c in sketch.T)
+    found = (bands[:n] == bands[n:]).any(1) & (agree >= line_dedup.AGREE)
+    assert found.mean() > 0.99
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
