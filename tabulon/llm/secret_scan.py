@@ -1,7 +1,7 @@
 """Secrets: base patterns, and corpus-wide ownership of every candidate.
 
 Candidates are the base matches and further credential forms. Each candidate's hash is aggregated over the corpus by distinct owners (source)
-and documents (repositories): a value that many owners hold is a copied example, one that a single owner holds and that looks random is live.
+and documents (repositories): a value that many owners or many documents hold is a copied example, any other one that looks random is live.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ HEX = r"[0-9a-f]{32,}+"
 KINDS = ("assign", "access", "hex")
 # Public prefixes of credential formats.
 FORMATS = r"\b(?:gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}|xox[abprs]-[A-Za-z0-9-]{10,250}|glpat-[A-Za-z0-9_-]{20,64}|sk_live_[A-Za-z0-9]{16,128}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,2000}\.eyJ[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,1000})"
-#: A value that so many owners hold is an example.
-OWNERS = 3
+#: A value that so many owners hold, or so many documents of however few owners, is an example.
+OWNERS, DOCUMENTS = 3, 10
 #: Distinct characters that a live-looking value has, and the words that only examples hold.
 DISTINCT, EXAMPLE = 6, r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|1234567|abcdef"
 
@@ -42,9 +42,9 @@ def live_looking(value: Column) -> Column:
 def scan_secrets(docs: DataFrame, owner: str = "source") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example of every row of docs.
 
-    spans: the base spans, those of other credential formats (format), and one `live` span per value that only one owner holds and that looks
-    random. n_example counts values held by OWNERS owners or more. Null text: empty. A null owner counts as an owner of its own. Rows with
-    equal doc_id and text count once in the corpus and get equal results. Empty input: no rows. Other columns are ignored.
+    spans: the base spans, those of other credential formats (format), and one `live` span per value that looks random and is no example.
+    n_example counts values held by OWNERS owners or DOCUMENTS documents or more. Null text: empty. A null owner counts as an owner of its own.
+    Rows with equal doc_id and text count once per owner and get equal results. Empty input: no rows. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(owner).cast("string"), F.lit("\x00")).alias("owner"))
@@ -54,10 +54,12 @@ def scan_secrets(docs: DataFrame, owner: str = "source") -> DataFrame:
     marked = scratch.save(marked.select("doc_id", "key", "owner", *(slim(F.col(k)).alias(k) for k, _ in found)), "marked")
     each = marked.select("key", "owner", F.explode(F.concat(*(k for k, _ in found))).alias("s")).select("key", "owner", "s.*").distinct()
     # first by (value, owner), so that a value that all rows hold is never one task's
-    owners = each.groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("owners"))
-    judged = each.join(owners, "value").groupBy("key").agg(
-        F.collect_set(F.when((F.col("owners") == 1) & F.col("random"), F.struct("start", F.lit(4).alias("rank"), F.lit("live").alias("kind"), "stop"))).alias("live"),
-        F.countDistinct(F.when(F.col("owners") >= OWNERS, F.col("value"))).alias("n_example"),
+    owned = each.select("value", "owner", "key").distinct().groupBy("value", "owner").agg(F.count("*").alias("n"))
+    held = owned.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("documents"))
+    example = (F.col("owners") >= OWNERS) | (F.col("documents") >= DOCUMENTS)
+    judged = each.join(held, "value").groupBy("key").agg(
+        F.collect_set(F.when(~example & F.col("random"), F.struct("start", F.lit(4).alias("rank"), F.lit("live").alias("kind"), "stop"))).alias("live"),
+        F.countDistinct(F.when(example, F.col("value"))).alias("n_example"),
     )
     base = spans.in_order([(k, F.col(k)) for k in KINDS])
     first = spans.in_order([(k, F.col(k)) for k, _ in found])

@@ -125,6 +125,17 @@ def test_owner_frequency_separates_examples_from_live_values(spark):
     assert got[10][0]["n_live"] == 1 and "live:0:21" in got[10][0]["spans"] and got[11][0]["n_live"] == 0
 
 
+def test_document_frequency_separates_them_too(spark):
+    """A value copied within one source is an example; one in a few documents of two sources is live."""
+    copied, twice = "token: Zx81kQp0Lm2n", "token: q9W8e7R6t5Y4"
+    rows = [(i, f"{copied} and {copied} in text {i}", "hot") for i in range(30)] + [(100 + i, twice, f"owner{i}") for i in range(2)]
+    rows += [(200, " ".join(["token: m3N4b5V6c7X8"] * 40), "hot")] * 20  # one document, however often
+    got = by_id(secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert all((got[i][0]["n_example"], got[i][0]["n_live"]) == (1, 0) and "live" not in got[i][0]["spans"] for i in range(30))
+    assert all((got[100 + i][0]["n_example"], got[100 + i][0]["n_live"]) == (0, 1) for i in range(2))
+    assert got[200][0]["n_example"] == 0 and got[200][0]["n_live"] == 40
+
+
 def test_quality_base_figures(docs):
     frame, rows = docs
     got = by_id(quality.assess(frame.select("doc_id", "text")))
