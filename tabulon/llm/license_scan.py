@@ -1,8 +1,8 @@
 """License scan: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them. DataFrame functions only.
 
-Texts of a length class are cut into windows of twice the class's length, every class length, so a template lies whole in a window. A window that holds
-three quarters of a template at least half a class long has a Jaccard similarity of 0.17 or more to it; with BANDS bands of one row it is
-retrieved with a probability of 1 - (1 - 0.17)**64, over 0.9999.
+Texts of a length class are cut into windows of twice the class's length, every class length, so a template lies whole in a window. A template of one
+shingle has windows of one shingle. A class has as many bands of one row, BANDS at least, as retrieve a window that holds just the needed share of
+any of its templates with a probability of 1 - LOST or more, by the least Jaccard similarity that such a window can have (bands_needed).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.common import Scratch, documents
 
-WIDTH, PERCENT, BANDS = 5, 75, 64
+WIDTH, PERCENT, BANDS, LOST = 5, 75, 64, 1e-4
 # Notices and openings of public licenses.
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
@@ -43,17 +43,29 @@ def shingles_of(words: Column) -> Column:
     return F.when(n >= WIDTH, F.transform(F.sequence(F.lit(1), n - (WIDTH - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(WIDTH))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def bands_of(shingles: Column) -> Column:
-    """(band, least hash) of each band's own hash function."""
-    def least(b: int) -> Column:
-        return F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(b))))
+def bands_of(shingles: Column, n: Column) -> Column:
+    """(band, least hash) of each of n bands' own hash function."""
+    def least(b: Column) -> Column:
+        return F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, b)))
 
-    return F.array(*(F.struct(F.lit(b).alias("band"), least(b).alias("least")) for b in range(BANDS)))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.struct(b.alias("band"), least(b).alias("least")))
 
 
-def windows_of(shingles: str, length: int) -> Column:
-    """(length, first word, distinct shingles) of windows of twice the length, every length."""
-    window = lambda i: F.struct(F.lit(length).alias("length"), (i * length).alias("word"), F.array_distinct(F.slice(shingles, i * length + 1, F.lit(2 * length))).alias("window"))
+def span(length: int) -> int:
+    """Shingles of a class's window."""
+    return 1 if length == 1 else 2 * length
+
+
+def bands_needed(shingles: int, length: int) -> int:
+    """Bands that retrieve a template of so many distinct shingles wherever a window of its class holds the needed share of them."""
+    held = math.ceil(PERCENT * shingles / 100)
+    least = held / (max(span(length), held) + shingles - held)  # all else in the window is foreign
+    return 1 if least == 1 else max(BANDS, math.ceil(math.log(LOST) / math.log(1 - least)))
+
+
+def windows_of(shingles: str, length: int, bands: int) -> Column:
+    """(length, bands, first word, distinct shingles) of a class's windows, every length."""
+    window = lambda i: F.struct(F.lit(length).alias("length"), F.lit(bands).alias("bands"), (i * length).alias("word"), F.array_distinct(F.slice(shingles, i * length + 1, F.lit(span(length)))).alias("window"))
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(shingles) - 1) / length).cast("int")), window)
 
 
@@ -96,19 +108,23 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
     spark = docs.sparkSession
     scratch = Scratch(spark)
     known = spark.createDataFrame(list(templates.items()), "license string, text string").withColumn("words", words_of(F.col("text")))
-    known = known.withColumn("shingles", F.array_distinct(shingles_of(F.col("words")))).withColumn("length", F.greatest(F.lit(8), F.pow(F.lit(2.0), F.ceil(F.log2(F.size("words").cast("double")))).cast("int")))
-    known = scratch.save(known.where(F.size("shingles") > 0).select("license", "shingles", "length", bands_of(F.col("shingles")).alias("bands")), "templates")
-    classes = sorted(r[0] for r in known.select("length").distinct().collect())  # one per power of two
+    known = known.withColumn("shingles", F.array_distinct(shingles_of(F.col("words"))))
+    length = F.greatest(F.lit(8), F.pow(F.lit(2.0), F.ceil(F.log2(F.size("words").cast("double")))).cast("int"))
+    known = known.where(F.size("shingles") > 0).withColumn("length", F.when(F.size("shingles") == 1, 1).otherwise(length))
+    classes: dict[int, int] = {}  # bands of each class, one per power of two
+    for n, c in sorted(known.select(F.size("shingles"), "length").distinct().collect()):
+        classes[c] = max(classes.get(c, 1), bands_needed(n, c))
+    known = scratch.save(known.select("license", "shingles", "length", bands_of(F.col("shingles"), F.lit(max(classes.values(), default=1))).alias("bands")), "templates")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), text.alias("text"))
     held = rows.where(F.col("text").rlike(gate(templates))).select("key", words_of(F.col("text")).alias("words"))
     held = scratch.save(held.dropDuplicates(["key"]).select("key", shingles_of(F.col("words")).alias("all")).where(F.size("all") > 0), "held")
-    bands = held.select("key", F.explode(F.concat(*(windows_of("all", c) for c in classes))).alias("w")).select("key", "w.length", "w.word", F.explode(bands_of(F.col("w.window"))).alias("b")).select("key", "length", "word", "b.*")
+    bands = held.select("key", F.explode(F.concat(*(windows_of("all", c, n) for c, n in classes.items()))).alias("w")).select("key", "w.length", "w.word", F.explode(bands_of(F.col("w.window"), F.col("w.bands"))).alias("b")).select("key", "length", "word", "b.*")
     # the templates are a fixed list, a row per band of each
     retrieve = F.broadcast(known.select("license", "length", F.explode("bands").alias("b")).select("license", "length", "b.*"))
     pairs = bands.join(retrieve, ["length", "band", "least"]).select("key", "length", "word", "license").distinct()
     whole = pairs.join(held, "key").join(F.broadcast(known.select("license", "shingles")), "license")
-    window = F.slice("all", F.col("word") + 1, 2 * F.col("length"))
+    window = F.slice("all", F.col("word") + 1, F.when(F.col("length") == 1, 1).otherwise(2 * F.col("length")))
     share = F.size(F.array_intersect(window, F.col("shingles"))) * 100.0 / F.size("shingles")
     found = whole.select("key", "license", "word", share.alias("containment")).where(F.col("containment") >= PERCENT)
     best = found.groupBy("key", "license").agg(F.max(F.struct("containment", (-F.col("word")).alias("back"))).alias("m"))

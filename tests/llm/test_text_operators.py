@@ -183,6 +183,19 @@ def test_licenses(docs):
     assert all(gate.search(t) for t in license_scan.TEMPLATES.values())
 
 
+def test_every_license_is_retrieved_at_the_stated_rate(spark):
+    """The shortest notice among the first shingles of texts that differ, and the worst case of each template."""
+    rows = [(i, f"x{i} Released under the MIT License. " + " ".join(f"w{i}_{j}" for j in range(25))) for i in range(1500)]
+    out = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert out.where("licenses <> 'mit-notice'").count() == 0
+    for text in license_scan.TEMPLATES.values():
+        words = re.findall(r"[^\W_]+", text.lower())
+        n = len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+        length = 1 if n == 1 else max(8, 1 << (len(words) - 1).bit_length())
+        held, window = -(-3 * n // 4), 1 if n == 1 else 2 * length
+        assert (1 - held / (window + n - held)) ** license_scan.bands_needed(n, length) <= 1e-4
+
+
 def test_mixing(docs):
     frame, rows = docs
     out = mixing.mixed_sizes(frame).collect()
