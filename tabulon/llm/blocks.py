@@ -31,8 +31,8 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def link_across(members: DataFrame, to_sets: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
-    """Links (a, b) by Jaccard similarity between different components of a group; members: gid, node, component, load.
+def link_across(members: DataFrame, to_sets: Callable[[pa.Array], list[np.ndarray]], percent: int, loads: DataFrame) -> DataFrame:
+    """Links (a, b) by Jaccard similarity between different components of a group; members: gid, node, component; loads: node, load (what to_sets reads).
 
     Rows outside a group's largest component meet all rows of it, block by block. A block pair returns the links that
     merge components there, fewer than it has rows; so what comes back is enough for the components and grows with the rows.
@@ -40,7 +40,7 @@ def link_across(members: DataFrame, to_sets: Callable[[pa.Array], list[np.ndarra
     sizes = members.groupBy("gid", "component").agg(F.count("*").alias("k"))
     groups = sizes.groupBy("gid").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("n"), F.max("k").alias("most"), F.count("*").alias("parts")).where("parts > 1")
     groups = groups.select("gid", "main", F.ceil(F.col("n") / ROWS).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("most")) / ROWS).cast("int").alias("few_blocks"))
-    rows = members.join(groups, "gid")
+    rows = members.join(groups, "gid").join(loads, "node")
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     few = rows.where("component <> main").select("gid", block("few_blocks").alias("p"), spread("all_blocks").alias("q"), F.lit(True).alias("few"), "node", "component", "load")

@@ -4,8 +4,10 @@ A line's signature comes from one permutation: the hash of every shingle falls i
 value of the first filled one in an order of its own (BORROW), so that bins agree independently of each other however few shingles a line has.
 BANDS bands of ROWS bins put lines with a similarity of 0.75 together with probability 1 - (1 - 0.75**4)**16 = 0.998, of 0.8 with 0.9998; shingles
 of a line that fall into one bin change this by a few thousandths (tests/llm measures it by line length).
-A bucket's lines hang together by its least one, its lead. Every line is compared with the lead that most of its bands have; lines that
-hang together but then lie in different components are compared in blocks, so no bucket is capped and no group is expanded into all its pairs.
+The lines of a bucket are paired with its least one, its lead, if their sketches agree; those that don't clearly agree go on to the next lead among
+themselves. Tasks do so with what they have gathered before anything is shuffled, so a bucket that many lines share leaves each task as its leads.
+All pairs are verified, and lines of one lead that are then in different components are compared in blocks: no bucket is capped, no group is
+expanded into all its pairs, and lines that merely hang together through others are not compared.
 """
 
 from __future__ import annotations
@@ -20,32 +22,29 @@ from tabulon.llm.common import Scratch, checked_broadcast, documents, partitions
 
 SHINGLE, PERCENT = 5, 75
 BINS, BANDS, ROWS = 64, 16, 4
-#: Bins whose low bits travel with a line, and how many must agree before its text is looked at: of 32, a pair with a similarity of 0.75 has 24.5
-#: on average and fewer than 14 with a probability of 0.00002; unrelated lines (0.1) have 5.
-SKETCH, AGREE = 32, 14
-#: Rows of a task that looks for lines with equal bands.
-PART = 600_000
-_BLANK = (0x20, 9, 10, 11, 12, 13)
+#: Bins whose low four bits travel with a line as its sketch. Lines that agree in AGREE of them are paired: a pair with a similarity of 0.75 agrees in 12.3
+#: on average and in fewer than 7 with a probability of 0.001; unrelated lines (0.1) do in 2.5. From CLEAR on a line needs no other lead.
+SKETCH, AGREE, CLEAR = 16, 7, 9
+#: Records (bucket, line, sketch) that a task gathers before it pairs and emits them, and those of a task behind the shuffle on average.
+GATHERED, PART = 2_000_000, 1_000_000
+_IS_BLANK = np.isin(np.arange(34), [0x20, 9, 10, 11, 12, 13])
 #: Column b is the order, drawn once, in which bin b looks for a filled one.
 BORROW = np.random.default_rng(5).permuted(np.tile(np.arange(BINS)[:, None], (1, BINS)), axis=0)
 
 
 def signatures(shingles: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """n x BANDS band hashes, and four bits of each of SKETCH bins in two numbers; owner tells each shingle's line (all of 0 to n - 1 occur)."""
-    key = (owner.astype(np.uint64) << np.uint64(38)) | (shingles >> np.uint64(26))
-    key.sort()
-    place = key >> np.uint64(32)
-    first = np.r_[True, place[1:] != place[:-1]]
-    place, low = place[first].astype(np.int64), key[first] & np.uint64(0xFFFFFFFF)
-    least, filled = np.zeros(n * BINS, np.uint64), np.zeros(n * BINS, bool)
-    least[place], filled[place] = low, True
-    least, filled = least.reshape(n, BINS), filled.reshape(n, BINS)
-    row, bin_ = np.nonzero(~filled)
+    """n x BANDS band hashes, and four bits of each of SKETCH bins in one number; owner tells each shingle's line (all of 0 to n - 1 occur)."""
+    empty = np.uint64(1 << 32)  # above any bin's least value
+    least = np.full(n * BINS, empty)
+    np.minimum.at(least, owner * BINS + (shingles >> np.uint64(58)).astype(np.int64), (shingles >> np.uint64(26)) & np.uint64(0xFFFFFFFF))
+    least = least.reshape(n, BINS)
+    row, bin_ = np.nonzero(least == empty)
+    hollow = least == empty
     for step in BORROW:
         if not len(row):
             break
         source = step[bin_]
-        found = filled[row, source]
+        found = ~hollow[row, source]
         least[row[found], bin_[found]] = least[row[found], source[found]]
         row, bin_ = row[~found], bin_[~found]
     bands = np.empty((n, BANDS), np.uint64)
@@ -54,14 +53,17 @@ def signatures(shingles: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndar
         for j in range(ROWS):
             h += least[:, b + j * (BINS // ROWS)] * textkernels._SLOT[j]
         bands[:, b] = textkernels.mix(h)
-    sketch = np.zeros((n, 2), np.uint64)
+    sketch = np.zeros(n, np.uint64)
     for j in range(SKETCH):
-        sketch[:, j % 2] = (sketch[:, j % 2] << np.uint64(4)) | (textkernels.mix(least[:, 2 * j].copy()) & np.uint64(15))
+        sketch = (sketch << np.uint64(4)) | (textkernels.mix(least[:, 4 * j + j % 4].copy()) & np.uint64(15))
     return bands, sketch
 
 
-def lines_of(column: pa.Array):
-    """(text, number of the line in its text, 64-bit hash, band hashes, sketch) of all lines with a word, as arrays, about two megabytes of text at a time."""
+def lines_of(column: pa.Array, signed: bool = True):
+    """(text, number of the line in its text, 64-bit hash) of all lines with a word, as arrays, about two megabytes of text at a time.
+
+    If signed: (hash, band hashes, sketch) of the different ones instead.
+    """
     for row, data, offsets in textkernels.chunks(column):
         if not len(data):
             continue
@@ -70,7 +72,7 @@ def lines_of(column: pa.Array):
         total = len(points)
         breaks = points == 10
         newlines = np.concatenate([[0], np.cumsum(breaks)])
-        solid = np.concatenate([[0], np.cumsum(~np.isin(points, _BLANK))])
+        solid = np.concatenate([[0], np.cumsum(~_IS_BLANK[np.minimum(points, 33)])])
         starts = np.unique(np.concatenate([at[:-1], np.flatnonzero(breaks) + 1]))
         starts = starts[starts < total]
         ends = np.r_[starts[1:], total]
@@ -79,8 +81,6 @@ def lines_of(column: pa.Array):
         starts, ends = starts[real], ends[real]
         if not len(starts):
             continue
-        text = np.searchsorted(at, starts, "right") - 1
-        number = newlines[starts] - newlines[at[text]]
         up, down = textkernels.powers(total)
         sums = points.astype(np.uint64)
         sums += np.uint64(1)
@@ -89,6 +89,12 @@ def lines_of(column: pa.Array):
         h = sums[ends - 1]
         h[starts > 0] -= sums[starts[starts > 0] - 1]
         h = textkernels.mix(h * down[starts])
+        if not signed:
+            text = np.searchsorted(at, starts, "right") - 1
+            yield row + text, newlines[starts] - newlines[at[text]], h
+            continue
+        h, once = np.unique(h, return_index=True)
+        starts, ends = starts[once], ends[once]
         wide = points.astype(np.uint64)
         m = max(total - SHINGLE + 1, 0)
         s = np.zeros(m, np.uint64)
@@ -101,23 +107,19 @@ def lines_of(column: pa.Array):
         shingles = s[np.minimum(place, max(m - 1, 0))] if m else np.zeros(len(owner), np.uint64)
         tiny = ends - starts < SHINGLE  # the whole line is its one shingle
         shingles[(np.cumsum(count) - count)[tiny]] = h[tiny]
-        yield row + text, number, h, *signatures(shingles, owner, len(starts))
+        yield h, *signatures(shingles, owner, len(starts))
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
-    """doc_id, key, number, line (hash) and bands of every line with a word, bands only where a line comes first in a run of texts; rows: doc_id, key, text."""
+    """doc_id, key, number and line (hash) of every line with a word; rows: doc_id, key, text."""
 
     def run(batches):
         for batch in batches:
-            for text, number, h, bands, sketch in lines_of(batch.column(2)):
+            for text, number, h in lines_of(batch.column(2), signed=False):
                 at = pa.array(text)
-                first = np.zeros(len(h), bool)
-                first[np.unique(h, return_index=True)[1]] = True
-                bounds = np.r_[0, np.cumsum(first)].astype(np.int32) * BANDS
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(bands[first].view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(h.view(np.int64)), lists, *(pa.array(c.copy().view(np.int64)) for c in sketch.T)], ["doc_id", "key", "number", "line", "bands", "s0", "s1"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "key", "number", "line"])
 
-    return rows.mapInArrow(run, "doc_id long, key long, number int, line long, bands array<long>, s0 long, s1 long")
+    return rows.mapInArrow(run, "doc_id long, key long, number int, line long")
 
 
 def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,40 +130,77 @@ def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 16 - np.bitwise_count(z & np.uint64(0x1111111111111111))
 
 
-def _leads(lines: DataFrame) -> DataFrame:
-    """lead, line and n (bands) of lines that share a bucket with a lesser line of similar sketch, its lead; a bucket has a lead for each sort of lines.
-
-    Buckets are sorted within partitions and read as a stream that holds a bucket's leads only, so one of any size takes no memory.
+_RECORD = np.dtype([("bucket", "<u8"), ("line", "<i8"), ("sketch", "<u8")])
+
+
+def _pairs(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (lead, line) of records that share a bucket and agree, and the records that remain for others to be paired with: each bucket's leads."""
+    records = records[np.argsort(records["bucket"], kind="stable")]
+    same = records["bucket"][1:] == records["bucket"][:-1]
+    shared = np.r_[same, False] | np.r_[False, same]
+    alone, records = records[~shared], records[shared]
+    records = records[np.lexsort((records["line"], records["bucket"]))]
+    again = (records["bucket"][1:] == records["bucket"][:-1]) & (records["line"][1:] == records["line"][:-1])
+    left = records[~np.r_[False, again]] if len(records) else records
+    pairs, leads = [np.empty((0, 2), np.int64)], [alone]
+    while len(left):
+        b = left["bucket"]
+        start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        lead = np.repeat(start, np.diff(np.r_[start, len(left)]))
+        like = _agreeing(left["sketch"], left["sketch"][lead])
+        is_lead = np.arange(len(left)) == lead
+        pair = (like >= AGREE) & ~is_lead
+        pairs.append(np.stack([left["line"][lead[pair]], left["line"][pair]], 1))
+        leads.append(left[start])
+        left = left[(like < CLEAR) & ~is_lead]
+    return np.unique(np.concatenate(pairs), axis=0), np.concatenate(leads)
+
+
+def _leads(rows: DataFrame, records: int) -> DataFrame:
+    """lead and line of lines that share a bucket with a lesser line of similar sketch, its lead; a bucket has a lead for each sort of lines.
+
+    rows: text; records: about how many there are of (bucket, line). They travel packed, and are paired before and behind the shuffle.
     """
-    rows = lines.select(F.explode("bands").alias("bucket"), "line", "s0", "s1")
-    parts = partitions(lines.sparkSession, lines.count() * BANDS, PART)
-
-    def run(batches):
-        held = None
+    parts = partitions(rows.sparkSession, records, PART)
+
+    def emit(held):
+        pairs, leads = _pairs(np.concatenate(held))
+        cells = {}
+        for which, block, packed in ((0, (pairs[:, 0].view(np.uint64) >> np.uint64(40)) % np.uint64(parts), pairs), (1, (leads["bucket"] >> np.uint64(40)) % np.uint64(parts), leads)):
+            order = np.argsort(block, kind="stable")
+            block, packed = block[order], packed[order]
+            cuts = [0, *np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True) if len(block) else ():
+                cells.setdefault(int(block[a]), [b"", b""])[which] = packed[a:z].tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(list(cells), pa.int32()), *(pa.array([c[k] for c in cells.values()], pa.binary()) for k in (0, 1))], ["block", "pairs", "leads"])
+
+    def gather(batches):
+        held, size = [], 0
         for batch in batches:
-            bucket, line, s0, s1 = (c.to_numpy() for c in batch.columns)
-            if not len(bucket):
-                continue
-            s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
-            if held is not None and held[0][0] == bucket[0]:
-                bucket, line, s0, s1 = (np.concatenate(pair) for pair in zip(held, (bucket, line, s0, s1), strict=True))
-            last = bucket[-1]
-            left, leads = np.arange(len(bucket)), []
-            while len(left):
-                b = bucket[left]
-                start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-                lead = np.repeat(left[start], np.diff(np.r_[start, len(left)]))
-                like = _agreeing(s0[left], s0[lead]) + _agreeing(s1[left], s1[lead]) >= AGREE
-                pair = like & (line[left] != line[lead])
-                if pair.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(line[lead[pair]]), pa.array(line[left[pair]])], ["lead", "line"])
-                leads.append(left[start][bucket[left[start]] == last])
-                left = left[~like]
-            at = np.concatenate(leads)
-            held = bucket[at], line[at], s0[at], s1[at]
-
-    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "line")
-    return dealt.mapInArrow(run, "lead long, line long").groupBy("lead", "line").agg(F.count("*").alias("n"))
+            for h, bands, sketch in lines_of(batch.column(0)):
+                records = np.empty(bands.size, _RECORD)
+                records["bucket"], records["line"], records["sketch"] = bands.ravel(), np.repeat(h.view(np.int64), BANDS), np.repeat(sketch, BANDS)
+                held.append(records)
+                size += len(records)
+                if size >= GATHERED:
+                    yield from emit(held)
+                    held, size = [], 0
+        if held:
+            yield from emit(held)
+
+    def pair(batches):
+        blocks = {}
+        for batch in batches:
+            for block, pairs, leads in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                pairs = np.frombuffer(pairs, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["lead", "line"])
+                blocks.setdefault(block, []).append(np.frombuffer(leads, _RECORD))
+        for block in list(blocks):
+            pairs, _ = _pairs(np.concatenate(blocks.pop(block)))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["lead", "line"])
+
+    packed = rows.select("text").mapInArrow(gather, "block int, pairs binary, leads binary")
+    return packed.repartition(parts, "block").mapInArrow(pair, "lead long, line long").distinct()
 
 
 def _grams(t: str) -> set:
@@ -197,23 +236,28 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text").where("text IS NOT NULL")
     lines = scratch.save(_occurrences(rows), "lines")
-    leads = scratch.save(_leads(lines), "leads")
+    leads = scratch.save(_leads(rows, lines.count() * BANDS), "leads")
     first = F.min(F.struct("doc_id", "key", "number"))
-    wanted = lines.select("line", "doc_id", "key", "number").join(leads.select(F.explode(F.array("lead", "line")).alias("line")).distinct(), "line", "left_semi").groupBy("line").agg(first.alias("f"))
+    paired = scratch.save(leads.select(F.explode(F.array("lead", "line")).alias("line")).distinct(), "paired")
+    wanted = lines.join(checked_broadcast(paired), "line", "left_semi").groupBy("line").agg(first.alias("f"))
     by_doc = scratch.save(wanted.groupBy("f.doc_id", "f.key").agg(F.collect_list(F.struct(F.col("f.number").alias("number"), "line")).alias("at")), "places")
-    full = rows.alias("r").join(checked_broadcast(by_doc).alias("d"), F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.key") == F.col("d.key"))).select(F.split("text", "\n", -1).alias("parts"), F.explode("at").alias("p"))
+    places = by_doc.agg(F.sum(F.size("at"))).first()[0] or 0
+    full = rows.alias("r").join(checked_broadcast(by_doc, places).alias("d"), F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.key") == F.col("d.key"))).select(F.split("text", "\n", -1).alias("parts"), F.explode("at").alias("p"))
     texts = scratch.save(full.select("p.line", F.get("parts", "p.number").alias("text")).dropDuplicates(["line"]), "texts")
-    stars = leads.groupBy("line").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead")).select(F.col("lead").alias("a"), F.col("line").alias("b"))
-    links = scratch.save(similar(stars, texts), "links")
-    stars = leads.select(F.col("lead").alias("a"), F.col("line").alias("b"))
-    groups = graph.components(scratch, stars).select(F.col("node").alias("line"), F.col("component").alias("gid"))
+    links = scratch.save(similar(leads.select(F.col("lead").alias("a"), F.col("line").alias("b")), texts), "links")
     found = graph.components(scratch, links).select(F.col("node").alias("line"), "component")
-    members = groups.join(found, "line", "left").join(texts, "line").select("gid", F.col("line").alias("node"), F.coalesce("component", "line").alias("component"), F.col("text").alias("load"))
-    links = links.unionByName(scratch.save(blocks.link_across(members, _sets, PERCENT), "links"))
-    labels = graph.components(scratch, links)
-    placed = lines.select("doc_id", "key", "number", "line").join(labels.select(F.col("node").alias("line"), "component"), "line", "left").select("doc_id", "key", "number", F.coalesce("component", "line").alias("component"))
-    kept = placed.groupBy("component").agg(first.alias("f"), F.count("*").alias("n")).where("n > 1")
-    gone = placed.join(kept, "component").where(~F.struct("doc_id", "key", "number").eqNullSafe(F.col("f")))
+    # a lead of one line is settled; of more, those that it isn't linked with may be linked with each other
+    many = leads.groupBy("lead").agg(F.count("*").alias("n")).where("n > 1").select("lead")
+    stars = leads.join(many, "lead", "left_semi").unionByName(many.select("lead", F.col("lead").alias("line")))
+    members = stars.join(found, "line", "left").select(F.col("lead").alias("gid"), F.col("line").alias("node"), F.coalesce("component", "line").alias("component"))
+    links = links.unionByName(scratch.save(blocks.link_across(members, _sets, PERCENT, texts.select(F.col("line").alias("node"), F.col("text").alias("load"))), "links"))
+    labels = graph.components(scratch, links).select(F.col("node").alias("line"), F.col("component"))
+    # each line's first place and number of places, before components are looked at: a line that all documents hold is one row here
+    each = lines.groupBy("line").agg(first.alias("f"), F.count("*").alias("n")).join(labels, "line", "left").where("n > 1 OR component IS NOT NULL")
+    each = scratch.save(each.select("line", F.coalesce("component", "line").alias("component"), "f", "n"), "each")
+    kept = each.groupBy("component").agg(F.min("f").alias("keep"), F.sum("n").alias("m")).where("m > 1")
+    repeated = scratch.save(each.select("line", "component").join(kept.select("component", "keep"), "component").select("line", "keep"), "repeated")
+    gone = lines.join(checked_broadcast(repeated), "line").where(~F.struct("doc_id", "key", "number").eqNullSafe(F.col("keep")))
     removed = gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("number")).alias("removed"))
     return removed, scratch
 

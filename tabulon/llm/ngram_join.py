@@ -313,8 +313,8 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     if not stars.isEmpty():
         groups = graph.components(scratch, stars).select(F.col("node").alias("set_id"), F.col("component").alias("gid"))
         found = graph.components(scratch, links).select(F.col("node").alias("set_id"), "component")
-        members = groups.join(found, "set_id", "left").join(sets, "set_id").select("gid", F.col("set_id").alias("node"), F.coalesce("component", "set_id").alias("component"), F.col("grams").alias("load"))
-        links = links.unionByName(scratch.save(blocks_.link_across(members, _unpack, percent), "links"))
+        members = groups.join(found, "set_id", "left").select("gid", F.col("set_id").alias("node"), F.coalesce("component", "set_id").alias("component"))
+        links = links.unionByName(scratch.save(blocks_.link_across(members, _unpack, percent, sets.select(F.col("set_id").alias("node"), F.col("grams").alias("load"))), "links"))
     reps = graph.components(scratch, links)
     labels = classes.join(reps.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component"), "rep")
     least_doc = labels.groupBy("component").agg(F.min("rep").alias("component_id"))
