@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, on average, and columns of the dense slices that a product is summed over.
 ROWS, COLUMNS = 384, 4096
+#: So few pairs of sets are compared one by one.
+FEW = 64
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of each of left's sets with each of right's; sets are arrays of distinct items."""
+    if len(left) * len(right) <= FEW:
+        return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in right] for a in left], np.int64).reshape(len(left), len(right))
     rows = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
     _, item, count = np.unique(np.concatenate([*left, *right]) if len(rows) else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
     twice = count[item] > 1

@@ -22,18 +22,21 @@ from tabulon.llm.common import Scratch, checked_broadcast, documents, partitions
 
 SHINGLE, PERCENT = 5, 75
 BINS, BANDS, ROWS = 64, 16, 4
-#: Bins whose low four bits travel with a line as its sketch. Lines that agree in AGREE of them are paired: a pair with a similarity of 0.75 agrees in 12.3
-#: on average and in fewer than 7 with a probability of 0.001; unrelated lines (0.1) do in 2.5. From CLEAR on a line needs no other lead.
-SKETCH, AGREE, CLEAR = 16, 7, 9
+#: Two bits of each of SKETCH bins travel with a line, and how many bins it filled itself, m. Two bits agree with probability J + (1 - J) / 4, so a
+#: pair with a similarity of 0.75 agrees in 0.81 of the bins, with a variance of 0.15 / m; it is paired unless it lies DEVIATIONS below that.
+SKETCH, DEVIATIONS = 60, 3.2
+#: A line that agrees in so many bins more needs no other lead.
+CLEAR = 5
 #: Records (bucket, line, sketch) that a task gathers before it pairs and emits them, and those of a task behind the shuffle on average.
 GATHERED, PART = 2_000_000, 1_000_000
+AGREE = np.array([0, *(int(SKETCH * max(0.8125 - DEVIATIONS * (0.1523 / m) ** 0.5, 0)) for m in range(1, BINS + 1))])
 _IS_BLANK = np.isin(np.arange(34), [0x20, 9, 10, 11, 12, 13])
 #: Column b is the order, drawn once, in which bin b looks for a filled one.
 BORROW = np.random.default_rng(5).permuted(np.tile(np.arange(BINS)[:, None], (1, BINS)), axis=0)
 
 
 def signatures(shingles: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """n x BANDS band hashes, and four bits of each of SKETCH bins in one number; owner tells each shingle's line (all of 0 to n - 1 occur)."""
+    """n x BANDS band hashes, and two numbers with two bits of each of SKETCH bins and the count of filled bins; owner tells each shingle's line (all of 0 to n - 1 occur)."""
     empty = np.uint64(1 << 32)  # above any bin's least value
     least = np.full(n * BINS, empty)
     np.minimum.at(least, owner * BINS + (shingles >> np.uint64(58)).astype(np.int64), (shingles >> np.uint64(26)) & np.uint64(0xFFFFFFFF))
@@ -53,9 +56,10 @@ def signatures(shingles: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndar
         for j in range(ROWS):
             h += least[:, b + j * (BINS // ROWS)] * textkernels._SLOT[j]
         bands[:, b] = textkernels.mix(h)
-    sketch = np.zeros(n, np.uint64)
+    sketch = np.zeros((n, 2), np.uint64)
     for j in range(SKETCH):
-        sketch = (sketch << np.uint64(4)) | (textkernels.mix(least[:, 4 * j + j % 4].copy()) & np.uint64(15))
+        sketch[:, j // 32] = (sketch[:, j // 32] << np.uint64(2)) | (textkernels.mix(least[:, j].copy()) & np.uint64(3))
+    sketch[:, 1] = (sketch[:, 1] << np.uint64(8)) | (BINS - hollow.sum(1)).astype(np.uint64)
     return bands, sketch
 
 
@@ -122,15 +126,16 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, number int, line long")
 
 
-def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many of the 16 groups of four bits are equal."""
+def _surplus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bins more than needed for a pair the sketches (rows of two numbers) agree."""
     z = a ^ b
+    z[:, 1] >>= np.uint64(8)
     z |= z >> np.uint64(1)
-    z |= z >> np.uint64(2)
-    return 16 - np.bitwise_count(z & np.uint64(0x1111111111111111))
+    filled = np.minimum(a[:, 1] & np.uint64(255), b[:, 1] & np.uint64(255))
+    return SKETCH - np.bitwise_count(z & np.uint64(0x5555555555555555)).sum(1).astype(np.int64) - AGREE[filled]
 
 
-_RECORD = np.dtype([("bucket", "<u8"), ("line", "<i8"), ("sketch", "<u8")])
+_RECORD = np.dtype([("bucket", "<u8"), ("line", "<i8"), ("sketch", "<u8", 2)])
 
 
 def _pairs(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +152,9 @@ def _pairs(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         b = left["bucket"]
         start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
         lead = np.repeat(start, np.diff(np.r_[start, len(left)]))
-        like = _agreeing(left["sketch"], left["sketch"][lead])
+        like = _surplus(left["sketch"], left["sketch"][lead])
         is_lead = np.arange(len(left)) == lead
-        pair = (like >= AGREE) & ~is_lead
+        pair = (like >= 0) & ~is_lead
         pairs.append(np.stack([left["line"][lead[pair]], left["line"][pair]], 1))
         leads.append(left[start])
         left = left[(like < CLEAR) & ~is_lead]
@@ -179,7 +184,7 @@ def _leads(rows: DataFrame, records: int) -> DataFrame:
         for batch in batches:
             for h, bands, sketch in lines_of(batch.column(0)):
                 records = np.empty(bands.size, _RECORD)
-                records["bucket"], records["line"], records["sketch"] = bands.ravel(), np.repeat(h.view(np.int64), BANDS), np.repeat(sketch, BANDS)
+                records["bucket"], records["line"], records["sketch"] = bands.ravel(), np.repeat(h.view(np.int64), BANDS), np.repeat(sketch, BANDS, axis=0)
                 held.append(records)
                 size += len(records)
                 if size >= GATHERED:

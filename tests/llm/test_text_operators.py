@@ -361,7 +361,7 @@ def test_line_recall_by_length(changed, shingles):
     order = np.argsort(signed[0])
     at = order[np.searchsorted(signed[0], hashes, sorter=order)]
     bands, sketch = signed[1][at], signed[2][at]
-    found = (bands[:n] == bands[n:]).any(1) & (line_dedup._agreeing(sketch[:n], sketch[n:]) >= line_dedup.AGREE)
+    found = (bands[:n] == bands[n:]).any(1) & (line_dedup._surplus(sketch[:n], sketch[n:]) >= 0)
     assert found.mean() > 0.99
 
 
