@@ -3,7 +3,8 @@
 Documents are tokenized where they lie; whole sequences are cut off, and what is left of each is an item. A linear program over the histogram
 of item lengths (in steps of STEP tokens, so it is as small for any corpus) picks patterns of lengths that fill a sequence; a knapsack by dynamic
 programming prices new patterns. Patterns are rounded down, the few items left over are packed best-fit, and the pattern table, a few hundred
-rows, is joined to documents ranked within their length. Tokens never move: only (document, place) rows do.
+rows, is joined to documents ranked within their length. STEP documents of one short length are one item, a multiple of STEP without
+any rounding; longer ones are rounded up by less than STEP, 6 percent of their length at worst. Tokens never move: only (document, place) rows do.
 """
 
 from __future__ import annotations
@@ -13,17 +14,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import Scratch, bucket_count, documents, hash_bucket, in_buckets
 
 LENGTH, END_ID, STEP = 4096, 2, 16
-#: Words whose ids a task remembers (about 200 MB).
-REMEMBERED = 1_000_000
-#: Rounds of the linear program at most; its patterns are usable after each.
-COLUMNS = 2000
+#: Words whose ids a task remembers (about 200 MB), and characters of text whose new words are looked up in one call.
+REMEMBERED, TOGETHER = 1_000_000, 1 << 20
+#: Columns that enter the linear program at most (its patterns are usable after each), and those that one pricing brings among the first EARLY; later all count.
+COLUMNS, TAKEN, EARLY = 6000, 12, 1000
 #: The program ends when its sequences are at most so much over the optimum (the best price bounds it).
 GAP = 0.005
 _SEPARATORS = {"\x1c", "\x1d", "\x1e", "\x1f"}
@@ -39,7 +40,7 @@ class WordIds(dict):
     """Token ids of words, as little-endian 32-bit bytes, and of whole texts.
 
     This tokenizer drops white space and never joins words across it, so ids are kept by word. It lowers case first, and marks behind a letter
-    or digit are a token run of their own, so a capitalized word or one with a mark is put together from what is known.
+    or digit are a token run of their own, so a capitalized word or one with a mark is put together from its parts.
     """
 
     def __init__(self, path: str):
@@ -48,17 +49,35 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.encoder, self.end = Tokenizer.from_file(path), np.array([END_ID], "<u4").tobytes()
+        # a special token is cut out before anything else is done, so it separates words that are encoded in one call
+        added = self.encoder.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        self.between, self.mark = next(((t.content, i) for i, t in added.items() if t.special), (None, None))
 
-    def __missing__(self, word: str) -> bytes:
+    def parts(self, word: str) -> list[str]:
+        """Parts whose ids, one behind another, are the word's."""
         bare = word.rstrip(".,;:!?")
-        if bare and bare != word and bare[-1].isalnum():
-            ids = self[bare] + self[word[len(bare) :]]
-        elif word.isascii() and (low := word.lower()) != word and "|" not in word:
-            ids = self[low]
-        else:
-            ids = np.array(self.encoder.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
+        # letters up to U+024F are letters in every version of Unicode; U+0130 is lowered to a letter and a mark, which joins what follows
+        cut = bare and bare != word and bare[-1].isalnum() and bare[-1] < "\u0250" and bare[-1] != "\u0130"
+        out = [bare, word[len(bare) :]] if cut else [word]
+        return [p.lower() if p.isascii() and "|" not in p else p for p in out]
+
+    def learn(self, words: set[str]) -> None:
+        split = {w: self.parts(w) for w in words}
+        new = list({p for parts in split.values() for p in parts if p not in self})
+        plain = [p for p in new if not any(s in p for s in self.special)] if self.between else []
+        if plain:
+            ids = np.array(self.encoder.encode(self.between.join(plain), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark).tolist()
+            data = ids.tobytes()
+            for p, a, b in zip(plain, [-1, *cuts], [*cuts, len(ids)], strict=True):
+                self[p] = data[4 * a + 4 : 4 * b]
+        for p in new:
+            if p not in self:
+                self[p] = np.array(self.encoder.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        for w, parts in split.items():
+            if w not in self:
+                self[w] = b"".join([self[p] for p in parts])
 
     def words(self, text: str) -> list[str]:
         # str.split also splits at four control characters that the tokenizer takes as symbols
@@ -68,10 +87,21 @@ class WordIds(dict):
             return regex.findall(r"\P{White_Space}+", text)
         return text.split()
 
-    def encode(self, text: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        return b"".join([self[w] for w in self.words(text)]) + self.end
+    def encode(self, texts: list[str]):
+        """The ids of each text, with the end, in order."""
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and size < TOGETHER:
+                size += len(texts[to])
+                to += 1
+            split = [self.words(t) for t in texts[at:to]]
+            if len(self) > REMEMBERED:
+                self.clear()
+            self.learn(set().union(*split).difference(self))
+            for words in split:
+                yield b"".join([self[w] for w in words]) + self.end
+            at = to
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -85,19 +115,17 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
             _ENCODERS[path] = WordIds(path)
         encoder = _ENCODERS[path]
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
             counts, crcs = [], []
-            for text in texts:
-                data = encoder.encode(text.as_py() or "")
+            for data in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
                 counts.append(len(data) // 4)
                 crcs.append([zlib.crc32(data[a : a + 4 * LENGTH]) for a in range(0, len(data), 4 * LENGTH)])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>")
 
 
-def _best_pattern(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of sizes within capacity."""
+def _price(sizes: np.ndarray, values: np.ndarray, capacity: int, most: int) -> tuple[float, np.ndarray]:
+    """The value of the most valuable multiset of sizes within capacity, and up to `most` patterns (a column each) that beat one sequence, each the best one with a certain size in it."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
@@ -107,14 +135,18 @@ def _best_pattern(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple
             k = int(v.argmax())
             if v[k] > best[c] + 1e-12:
                 best[c], pick[c] = v[k], k
-    pattern, c = np.zeros(len(sizes)), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
+    # the largest filled room that is not above each one
+    filled = np.maximum.accumulate(np.where(pick >= 0, np.arange(capacity + 1), 0))
+    columns, worth = [], values + best[capacity - sizes]
+    for i in (k for k in np.argsort(-worth, kind="stable")[:most] if worth[k] > 1 + GAP / 4):
+        pattern = np.zeros(len(sizes))
+        pattern[i] = 1
+        c = filled[capacity - sizes[i]]
+        while c > 0:
             pattern[pick[c]] += 1
-            c -= sizes[pick[c]]
-    return best[capacity], pattern
+            c = filled[c - sizes[pick[c]]]
+        columns.append(pattern)
+    return best[capacity], np.unique(np.array(columns).reshape(-1, len(sizes)), axis=0).T
 
 
 def patterns(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -126,27 +158,39 @@ def patterns(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     inverse, x = np.diag(1 / np.diag(basis)), need / np.diag(basis)
-    for turn in range(COLUMNS):
-        value, column = _best_pattern(sizes, np.maximum(inverse.sum(0), 0), capacity)
-        if value <= 1 + GAP:
+    turn = 0
+    while turn < COLUMNS:
+        value, columns = _price(sizes, np.maximum(inverse.sum(0), 0), capacity, TAKEN if turn < EARLY else m)
+        if value <= 1 + GAP or not columns.size:
             break
-        step = inverse @ column
-        up = step > 1e-10
-        if not up.any():
+        # what one pricing found enters until the prices that follow want none of it
+        before = turn
+        while turn < COLUMNS:
+            prices = inverse.sum(0) @ columns
+            best = int(prices.argmax())
+            if prices[best] <= 1 + GAP / 4:
+                break
+            column = columns[:, best]
+            step = inverse @ column
+            up = step > 1e-9
+            if not up.any():
+                break
+            ratio = np.full(m, np.inf)
+            ratio[up] = x[up] / step[up]
+            r = int(ratio.argmin())
+            x = x - ratio[r] * step
+            x[r] = ratio[r]
+            basis[:, r] = column
+            turn += 1
+            if turn % 50 == 0:
+                inverse = np.linalg.inv(basis)
+                x = np.maximum(inverse @ need, 0)
+            else:
+                inverse[r] /= step[r]
+                others = np.arange(m) != r
+                inverse[others] -= np.outer(step[others], inverse[r])
+        if turn == before:
             break
-        ratio = np.full(m, np.inf)
-        ratio[up] = x[up] / step[up]
-        r = int(ratio.argmin())
-        x = x - ratio[r] * step
-        x[r] = ratio[r]
-        basis[:, r] = column
-        if turn % 50 == 49:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ need, 0)
-        else:
-            inverse[r] /= step[r]
-            others = np.arange(m) != r
-            inverse[others] -= np.outer(step[others], inverse[r])
     out, left = [], need.astype(int).copy()
     for k in np.argsort(-x):
         column = basis[:, k].astype(int)
@@ -177,30 +221,45 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = scratch.save(tokenized(docs, path or tokenizer_path()).withColumn("bin", F.ceil(F.col("doc_tokens") % LENGTH / STEP).cast("int")), "tokens")
+    rest = F.col("doc_tokens") % LENGTH
+    # a class for each short length, and one for each step of the others; 0: nothing is left
+    size_class = F.when(rest < LENGTH // STEP, rest).otherwise(LENGTH + F.ceil(rest / STEP)).cast("int")
+    rows = scratch.save(tokenized(docs, path or tokenizer_path()).withColumn("class", size_class), "tokens")
     b = bucket_count(rows.count())
     order = ["doc_id", "doc_tokens", "crcs"]
-    ranked = scratch.save(in_buckets(rows, ["bin"], hash_bucket(b, "doc_id", "crcs"), order, "rank"), "ranked")
-    stats = ranked.groupBy("bin").agg(F.count("*").alias("n"), F.max("doc_tokens").alias("most")).collect()  # a row per length step, LENGTH / STEP + 1 at most
-    table, sequence = [], 0
-    begun = dict.fromkeys((r["bin"] for r in stats), 0)
-    for pattern, times in patterns({r["bin"]: r["n"] for r in stats if r["bin"]}, LENGTH // STEP):
+    ranked = scratch.save(in_buckets(rows, ["class"], hash_bucket(b, "doc_id", "crcs"), order, "rank"), "ranked")
+    stats = ranked.groupBy("class").agg(F.count("*").alias("n"), F.max("doc_tokens").alias("most")).orderBy("class").collect()  # LENGTH / STEP rows of either sort at most
+    demand: dict[int, int] = {}
+    classes, first = [], 0
+    for r in stats:
+        bundles, single = r["n"] // STEP if r["class"] < LENGTH else 0, -(-r["class"] // STEP) if r["class"] < LENGTH else r["class"] - LENGTH
+        begin = []
+        for size, n in ((r["class"], bundles), (single, r["n"] - STEP * bundles)):
+            begin.append(demand.get(size, 0))
+            if r["class"] and n:
+                demand[size] = begin[-1] + n
+        if single == r["class"] and bundles:  # both sorts of items are of one size
+            begin[1] = begin[0] + bundles
+        classes.append((r["class"], r["class"], single, bundles, *begin, first))
+        first += r["n"]
+    table, sequence, begun = [], 0, dict.fromkeys(demand, 0)
+    for pattern, times in patterns(demand, LENGTH // STEP):
         for size, k in pattern.items():
             table.append((size, begun[size], begun[size] + k * times, k, sequence))
             begun[size] += k * times
         sequence += times
     whole = max((r["most"] // LENGTH for r in stats), default=0)
-    first, bins = 0, []
-    for r in stats:
-        bins.append((r["bin"], first))
-        first += r["n"]
-    plan = spark.createDataFrame(table, "bin int, a long, z long, k long, base long")
-    bins = spark.createDataFrame(bins, "bin int, first long")
-    items = ranked.where("bin > 0").join(F.broadcast(plan), "bin").where("rank >= a AND rank < z")
-    items = items.select("doc_id", "doc_tokens", F.expr("base + (rank - a) div k").alias("sequence_id"), "bin", F.expr("(rank - a) % k").alias("slot"), F.expr(f"doc_tokens div {LENGTH} * {LENGTH}").alias("start"), F.expr(f"doc_tokens % {LENGTH}").alias("length"), F.element_at("crcs", -1).alias("ids_crc32"))
-    before = W.partitionBy("sequence_id").orderBy(F.desc("bin"), "slot").rowsBetween(W.unboundedPreceding, -1)
+    plan = spark.createDataFrame(table, "size int, a long, z long, k long, base long")
+    classes = spark.createDataFrame(classes, "class int, many int, single int, bundles long, of_many long, of_single long, first long")
+    placed = ranked.join(F.broadcast(classes), "class")
+    bundled = F.col("rank") < F.col("bundles") * STEP
+    items = placed.where("class > 0").withColumn("size", F.when(bundled, F.col("many")).otherwise(F.col("single")))
+    items = items.withColumn("item", F.when(bundled, F.expr(f"of_many + rank div {STEP}")).otherwise(F.expr(f"of_single + rank - bundles * {STEP}")))
+    items = items.join(F.broadcast(plan), "size").where("item >= a AND item < z")
+    items = items.select("doc_id", "doc_tokens", F.expr("base + (item - a) div k").alias("sequence_id"), "size", F.expr("(item - a) % k").alias("slot"), "rank", F.expr(f"doc_tokens div {LENGTH} * {LENGTH}").alias("start"), F.expr(f"doc_tokens % {LENGTH}").alias("length"), F.element_at("crcs", -1).alias("ids_crc32"))
+    before = W.partitionBy("sequence_id").orderBy(F.desc("size"), "slot", "rank").rowsBetween(W.unboundedPreceding, -1)
     items = items.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
-    full = ranked.where(f"doc_tokens >= {LENGTH}").join(F.broadcast(bins), "bin").select("doc_id", "doc_tokens", F.expr(f"{sequence}L + (first + rank) * {whole}L").alias("base"), F.posexplode(F.expr(f"slice(crcs, 1, int(doc_tokens div {LENGTH}))")).alias("j", "ids_crc32"))
+    full = placed.where(f"doc_tokens >= {LENGTH}").select("doc_id", "doc_tokens", F.expr(f"{sequence}L + (first + rank) * {whole}L").alias("base"), F.posexplode(F.expr(f"slice(crcs, 1, int(doc_tokens div {LENGTH}))")).alias("j", "ids_crc32"))
     full = full.select("doc_id", F.expr(f"j * {LENGTH}L").alias("start"), F.lit(LENGTH).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("base") + F.col("j")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return items.select(*full.columns).unionByName(full)
 

@@ -397,6 +397,25 @@ def test_packing(docs):
     assert packing.pack(frame.limit(0)).count() == 0
 
 
+def test_ids_of_odd_words():
+    """Words put together from known ones have the ids of the whole text."""
+    import random
+
+    import numpy as np
+
+    rng, encoder = random.Random(5), packing.WordIds(packing.tokenizer_path())
+    pool = [*"aBéÉßİı.,;:!?'1²日本_-\"😀ªñ\u0307\u0301\u200b\u1e9e\x1c\x85\u037e\u212a\u212b\ufb01", " ", "\u3000", "'s", "'ll", "<|endoftext|>", "<|", "|>"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 9))) for _ in range(60_000)]
+    for text, got in zip(texts, encoder.encode(texts), strict=True):
+        assert got == np.array([*encoder.encoder.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes(), repr(text)
+
+
+def test_short_documents_leave_little_padding(spark):
+    frame = spark.range(20_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN repeat('a ', 16) ELSE repeat('b ', int(1 + id % 60)) END AS text")
+    out = packing.pack(frame).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert max(r[1] for r in out) <= 4096 and sum(r[1] for r in out) >= 0.97 * 4096 * len(out)
+
+
 def test_patterns_hold_every_item():
     for demand in ({}, {256: 3}, {1: 1}, {100: 7, 60: 13, 33: 50, 200: 4}, {k: k % 5 + 1 for k in range(1, 257)}):
         got = Counter()
