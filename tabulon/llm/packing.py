@@ -10,6 +10,7 @@ any rounding; longer ones are rounded up by less than STEP, 6 percent of their l
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tabulon.llm.common import Scratch, bucket_count, documents, hash_bucket, in_buckets
 
 LENGTH, END_ID, STEP = 4096, 2, 16
-#: Words whose ids a task remembers (about 200 MB), and characters of text whose new words are looked up in one call.
+#: Words whose ids a task remembers (about 200 MB), and characters of text whose new words are looked up together.
 REMEMBERED, TOGETHER = 1_000_000, 1 << 20
 #: Columns that enter the linear program at most (its patterns are usable after each), and those that one pricing brings among the first EARLY; later all count.
 COLUMNS, TAKEN, EARLY = 6000, 12, 1000
@@ -49,10 +50,10 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.encoder, self.end = Tokenizer.from_file(path), np.array([END_ID], "<u4").tobytes()
-        # a special token is cut out before anything else is done, so it separates words that are encoded in one call
-        added = self.encoder.get_added_tokens_decoder()
-        self.special = [t.content for t in added.values()]
-        self.between, self.mark = next(((t.content, i) for i, t in added.items() if t.special), (None, None))
+        # a byte stands as itself if it prints, else as the next letter from U+0100 on: the usual spelling of byte-level vocabularies
+        printing = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in printing]
+        self.spelling = {b: 0x100 + i for i, b in enumerate(others)}
 
     def parts(self, word: str) -> list[str]:
         """Parts whose ids, one behind another, are the word's."""
@@ -62,22 +63,23 @@ class WordIds(dict):
         out = [bare, word[len(bare) :]] if cut else [word]
         return [p.lower() if p.isascii() and "|" not in p else p for p in out]
 
+    def look_up(self, part: str) -> bytes:
+        # a run of letters in lower case, of those that no normalization changes, is one word of the model; anything else takes the whole way
+        if part.isalpha() and max(part) < "\u0180" and part == part.lower():
+            spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.spelling)
+            ids = [t.id for t in self.encoder.model.tokenize(spelled)]
+        else:
+            ids = self.encoder.encode(part, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def learn(self, words: set[str]) -> None:
-        split = {w: self.parts(w) for w in words}
-        new = list({p for parts in split.values() for p in parts if p not in self})
-        plain = [p for p in new if not any(s in p for s in self.special)] if self.between else []
-        if plain:
-            ids = np.array(self.encoder.encode(self.between.join(plain), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark).tolist()
-            data = ids.tobytes()
-            for p, a, b in zip(plain, [-1, *cuts], [*cuts, len(ids)], strict=True):
-                self[p] = data[4 * a + 4 : 4 * b]
-        for p in new:
-            if p not in self:
-                self[p] = np.array(self.encoder.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-        for w, parts in split.items():
-            if w not in self:
-                self[w] = b"".join([self[p] for p in parts])
+        for word in words:
+            parts = self.parts(word)
+            for part in parts:
+                if part not in self:
+                    self[part] = self.look_up(part)
+            if word not in self:
+                self[word] = b"".join([self[p] for p in parts])
 
     def words(self, text: str) -> list[str]:
         # str.split also splits at four control characters that the tokenizer takes as symbols
