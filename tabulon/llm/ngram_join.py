@@ -18,7 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import blocks as blocks_
@@ -45,17 +45,17 @@ def _set_id(s: np.ndarray) -> int:
 
 
 def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles and set_id (null for an empty set) of each row of docs that has a doc_id."""
+    """doc_id, key, n_shingles and set_id (null for an empty set) of each row of docs (doc_id, key, text)."""
 
     def run(batches):
         for batch in batches:
-            ids, sizes, sets = batch.column(0), np.zeros(len(batch), np.int64), [None] * len(batch)
-            for row, s in textkernels.shingle_sets(batch.column(1), width):
+            sizes, sets = np.zeros(len(batch), np.int64), [None] * len(batch)
+            for row, s in textkernels.shingle_sets(batch.column(2), width):
                 sizes[row] = len(s)
                 sets[row] = _set_id(s) if len(s) else None
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes), pa.array(sets, pa.int64())], ["doc_id", "n_shingles", "set_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(sets, pa.int64())], ["doc_id", "key", "n_shingles", "set_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n_shingles long, set_id long")
 
 
 def _cells(blocks: np.ndarray, rows: np.ndarray):
@@ -118,7 +118,7 @@ def frequent(docs: DataFrame, blocks: int, width: int = WIDTH, least: int = FREQ
             n = np.diff(np.r_[at, len(h)])
             yield pa.RecordBatch.from_arrays([pa.array(h[at][n >= least].astype(np.int64)), pa.array(n[n >= least].astype(np.int64))], ["h", "df"])
 
-    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(cells, "block int, cell binary").repartition(blocks, "block").mapInArrow(count, "h long, df long")
+    return docs.select("text").mapInArrow(cells, "block int, cell binary").repartition(blocks, "block").mapInArrow(count, "h long, df long")
 
 
 #: A class's entry in a cell is a head (set id, size, slack, n-grams that follow) and then the n-grams; a frequent one has its top bit set.
@@ -167,7 +167,7 @@ def prefixes(docs: DataFrame, blocks: int, common, width: int = WIDTH, percent:
         if held:
             yield from _emit(held, ["block", "cell"])
 
-    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "block int, cell binary")
+    return docs.select("text").mapInArrow(run, "block int, cell binary")
 
 
 def _entries(cells: list[np.ndarray]):
@@ -241,7 +241,7 @@ def multiply(cells: DataFrame, blocks: int, percent: int = PERCENT) -> DataFrame
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: int = WIDTH) -> DataFrame:
-    """set_id and grams (packed) of the classes in wanted (set_id). classes: set_id and the doc_id that stands for it."""
+    """set_id and grams (packed) of the classes in wanted (set_id). classes: set_id and the key of a text that has it."""
 
     def sets(batches):
         for batch in batches:
@@ -251,8 +251,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, width: int =
                 blobs.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["set_id", "grams"])
 
-    reps = wanted.distinct().join(classes, "set_id").select(F.col("rep").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(checked_broadcast(reps), "doc_id", "left_semi").select("text")
+    reps = wanted.distinct().join(classes, "set_id").select("key")
+    texts = docs.select("key", "text").join(checked_broadcast(reps), "key", "left_semi").select("text")
     return texts.mapInArrow(sets, "set_id long, grams binary").dropDuplicates(["set_id"])
 
 
@@ -279,16 +279,18 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
 
 
 def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs; two rows are linked when 100 * |A and B| >= percent * |A or B| of their shingle sets.
+    """doc_id, key, n_shingles, set_id, component_id of every row of docs; two rows are linked when 100 * |A and B| >= percent * |A or B| of their shingle sets.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered. Fewer words than `width`: the whole sequence is the one shingle. No words or null
-    text: an empty set, linked with nothing, component_id = doc_id. Rows without doc_id: n_shingles 0, component_id null. Equal rows: one
-    class, every row is returned. Other columns are ignored. Empty input: no rows.
+    text: an empty set, linked with nothing, component_id = doc_id. Rows without doc_id are linked like others; a component of such rows alone has a null
+    component_id. Equal rows: one class, every row is returned. Other columns are ignored. Empty input: no rows. key is text_key(); set_id
+    is the least one of the component (null for an empty set), so it names a group whatever its doc_ids.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text")
     base = scratch.save(digest(docs, width), "digest")
-    classes = base.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+    classes = base.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"))
     total = base.agg(F.sum("n_shingles")).first()[0] or 0
     blocks = partitions(spark, total, BLOCK)
     often = scratch.save(frequent(docs, blocks, width), "frequent")
@@ -318,11 +320,32 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     reps = graph.components(scratch, links)
     labels = classes.join(reps.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component"), "rep")
     least_doc = labels.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = scratch.save(labels.join(least_doc, "component").select("set_id", "component_id"), "labels")
-    out = base.join(labels, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    lost = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(lost)
+    labels = scratch.save(labels.join(least_doc, "component").select("set_id", "component", "component_id"), "labels")
+    return base.join(labels, "set_id", "left").select("doc_id", "key", "n_shingles", F.col("component").alias("set_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each group of linked rows of docs: that of least doc_id (null last); of rows with one doc_id, that of least text_key().
+
+    Rows without words are linked with nothing and all stay. The columns of docs, whatever their names. Empty input: no rows.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.save(ngram_join(docs).where("set_id IS NOT NULL").groupBy("set_id", "doc_id", "key").agg(F.count("*").alias("n")), "linked")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = rows.groupBy("set_id").agg(F.min(order).alias("keep"), F.sum("n").alias("m")).where("m > 1")
+    # groups of one row need no look; of the others, rows that go, and kept ones that repeat
+    found = rows.join(kept, "set_id").select("doc_id", "key", (order == F.col("keep")).alias("stays"), "n").where("NOT stays OR n > 1")
+    found = checked_broadcast(scratch.save(found, "found")).alias("f")
+    same = F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.key") == F.col("f.key"))
+    all_rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key")).alias("r").join(found, same, "left")
+    single = all_rows.where("f.key IS NULL").select("row")
+    repeated = all_rows.where("f.stays").select("row", F.col("r.doc_id").alias("d"), F.col("r.key").alias("k")).dropDuplicates(["d", "k"]).select("row")
+    return single.unionByName(repeated).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(documents(spark, sf_dir))
+    return ngram_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")

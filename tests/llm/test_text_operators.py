@@ -271,11 +271,13 @@ def components(nodes, links):
 
 def test_ngram_join(docs):
     frame, rows = docs
-    sets = {}
-    for d, t, *_ in rows:
+    def shingles(t):
         w = WORD.findall((t or "").translate(LOWER))
-        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    del sets[None]
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+    # rows without doc_id are known by their place
+    known = {(d if d is not None else 10**6 + i): sets_ for i, (d, sets_) in enumerate(((d, t) for d, t, *_ in rows))}
+    sets = {d: shingles(t) for d, t in known.items()}
     holders = defaultdict(list)
     for d, s in sets.items():
         for g in s:
@@ -283,11 +285,26 @@ def test_ngram_join(docs):
     pairs = {(a, b) for held in holders.values() for a in held for b in held if a < b}
     want = components(sets, [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
     out = by_id(ngram_join.ngram_join(frame))
-    assert sum(map(len, out.values())) == len(rows) and all(r["component_id"] is None for r in out[None])
-    assert {(d, r["n_shingles"], r["component_id"]) for d in sets for r in out[d]} == {(d, len(s), want[d]) for d, s in sets.items()}
+    assert sum(map(len, out.values())) == len(rows)
+    name = lambda d: d if d < 10**6 else None
+    assert {(d, r["n_shingles"], r["component_id"]) for d in out for r in out[d]} == {(name(d), len(s), name(want[d])) for d, s in sets.items()}
+    kept = ngram_join.one_of_each(frame)
+    assert kept.columns == frame.columns
+    groups = Counter(want[d] for d, s in sets.items() if s)
+    kept = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert sum(n for (_, t), n in kept.items() if shingles(t)) == len(groups)
+    assert sum(n for (_, t), n in kept.items() if not shingles(t)) == sum(not shingles(t) for _, t, *_ in rows)
+    assert all(kept[d, known[d]] == 1 for d in groups if d < 10**6)
     assert ngram_join.ngram_join(frame.limit(0)).count() == 0
 
 
+def test_one_of_each_keeps_unique_texts_of_a_repeated_doc_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a, "x"), (5, a + " more", "x"), (5, b, "x"), (None, a, "y"), (7, b, "z"), (7, b, "z")]
+    out = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, key string"))
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, a), (5, b)]
+
+
 def test_ngram_join_of_frequent_passages(spark, monkeypatch):
     """Groups made of frequent n-grams alone, some near copies of each other, some not."""
     import random
