@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.llm import line_dedup, mixing, ngram_join, packing, quality
-from tabulon.llm.common import Scratch, checked_broadcast, documents
+from tabulon.llm.common import Scratch, documents
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,13 +19,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group linked by n-gram similarity; of rows with one doc_id and text, one; rows without doc_id stay."""
-    scratch = Scratch(spark)
-    labels = scratch.save(ngram_join.ngram_join(docs), "labels")
-    gone = scratch.save(labels.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    if labels.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
-    return docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL")).join(checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group linked by n-gram similarity, that of least doc_id; documents without words stay."""
+    return ngram_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
