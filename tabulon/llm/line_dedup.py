@@ -28,7 +28,7 @@ SKETCH, DEVIATIONS = 60, 3.2
 #: A line that agrees in so many bins more needs no other lead.
 CLEAR = 5
 #: Records (bucket, line, sketch) that a task gathers before it pairs and emits them, and those of a task behind the shuffle on average.
-GATHERED, PART = 500_000, 500_000
+GATHERED, PART = 200_000, 500_000
 AGREE = np.array([0, *(int(SKETCH * max(0.8125 - DEVIATIONS * (0.1523 / m) ** 0.5, 0)) for m in range(1, BINS + 1))])
 _IS_BLANK = np.isin(np.arange(34), [0x20, 9, 10, 11, 12, 13])
 #: Column b is the order, drawn once, in which bin b looks for a filled one.
@@ -64,7 +64,7 @@ def signatures(shingles: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndar
 
 
 def lines_of(column: pa.Array, signed: bool = True):
-    """(text, number of the line in its text, 64-bit hash) of all lines with a word, as arrays, about two megabytes of text at a time.
+    """(text, number of the line in its text, 64-bit hash) of all lines with a word, as arrays, about half a megabyte of text at a time.
 
     If signed: (hash, band hashes, sketch) of the different ones instead.
     """

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; larger only for a single unbroken word or line.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 _ODD = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 _SPACE = np.zeros(256, bool)
