@@ -1,10 +1,12 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts.
 
-Base spans seed the bootstrap. Each identifier-shaped word (seven digits or more and no letters, or an at sign) is an instance; the word before
-it and the word behind it are its lexical patterns. A pattern's confidence is the score of the instances seen in it over all occurrences
-of its word in texts that hold an identifier-shaped word; an instance's score is 1 for a seed and else the best confidence of its patterns.
-Rounds of these two sums over the pattern-instance graph are joins and aggregates; instances in patterns of high confidence and enough distinct seeds
-become spans (kind ctx_<kind of the seeds>).
+Base spans seed the bootstrap. Its instances are identifier-shaped spans of one or more words: words with a digit or an at sign, joined to
+further words with digits behind single spaces ('+44 20 7946 0958', 'DE89 3704 0044 0532 0130 00', '030-5550001'), and mail addresses written with
+(at). The one and the two words before the whole span and the word behind it are its lexical patterns. A pattern's confidence is the sum of the scores of
+the instances seen in it over all occurrences of its words in all documents and one more; an instance's score is 1 for a seed and else the best
+confidence of its patterns. Rounds of these two sums over the pattern-instance graph are joins and aggregates. In every round each pattern with enough
+distinct trusted instances takes part, whether seeds or found by then; all occurrences of trusted instances become spans (kind ctx_<kind of the
+seeds>).
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import spans
-from tabulon.llm.common import BLANK, Scratch, documents
+from tabulon.llm.common import BLANK, Scratch, checked_broadcast, documents
 
 _LOCAL = "A-Za-z0-9._%+-"
 # The forms below match what the plain forms match, at the same places: possessive runs that start at a run's first character (or where the
@@ -24,9 +26,15 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 NOT_CARD = r"[^0-9]{2,}+|[^0-9\x20-]|\A[\x20-]|[\x20-]\z"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: Words with a digit or an at sign, from a word's start.
-SHAPED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-ROUNDS, CONFIDENCE, SEEDS = 3, 0.6, 3
+_BLANKS = " \t\n\x0b\x0c\r"
+_X = r"\x20\x09-\x0D"
+#: Words with a digit or an at sign, from a word's start, with the words with digits that follow behind single spaces; and addresses written with (at).
+MAIL = rf"[^{_X}(\[]++\x20?[(\[](?i:at)[)\]]\x20?[^{_X}]++(?:\x20[(\[](?i:dot)[)\]]\x20[^{_X}]++)*+"
+SHAPED = rf"(?<![^{_X}])(?:{MAIL}|[^{_X}0-9@]*+[0-9@][^{_X}]*+(?:\x20[^{_X}0-9]*+[0-9][^{_X}]*+)*+)"
+AT = r"(?i)[(\[]at[)\]]"
+ROUNDS, CONFIDENCE, SEEDS = 4, 0.6, 3
+#: Digits that an instance without an at sign has at least.
+DIGITS = 5
 
 
 def _ip_ok(hit: Column, _: Column) -> Column:
@@ -70,77 +78,105 @@ def _bare(word: Column) -> Column:
 
 
 def _shaped(text: Column) -> Column:
-    """Identifier-shaped words with their places and neighbouring words: array of (start, stop, word, left, right)."""
-    kind = "array<struct<start:bigint,stop:bigint,word:string,left:string,right:string>>"
+    """Identifier-shaped spans with their places and neighbouring words: array of (start, stop, word, left, left2, right)."""
+    kind = "array<struct<start:bigint,stop:bigint,word:string,left:string,left2:string,right:string>>"
     gaps = F.split(text, SHAPED, -1)
     words = F.regexp_extract_all(text, F.lit(SHAPED), 0)
     after = F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0)))
     rows = F.arrays_zip(gaps.alias("gap"), words.alias("word"), after.alias("after"))
-    empty = F.array().cast(kind)
 
+    def item(row, at):
+        before = F.reverse(F.split(F.btrim(F.right(row["gap"], F.lit(200)), F.lit(_BLANKS)), BLANK + "+"))
+        left, second = _bare(F.get(before, F.lit(0))), _bare(F.get(before, F.lit(1)))
+        left2 = F.when(second != "", F.concat_ws(" ", second, left)).otherwise("")
+        right = _bare(F.regexp_extract(row["after"], rf"\A{BLANK}+([^\x20\x09-\x0D]+)", 1))
+        lead = F.length(F.regexp_extract(row["word"], r"\A[(\[\"'<]*", 0))
+        core = F.regexp_extract(row["word"], r"\A[(\[\"'<]*(.*?)[)\]\"'>.,;:!?]*\z", 1)
+        return F.struct((at + lead).cast("long").alias("start"), (at + lead + F.length(core)).cast("long").alias("stop"), core.alias("word"), left.alias("left"), left2.alias("left2"), right.alias("right"))
+
+    # a match's place: the lengths of the gaps and matches before it
     def step(acc, row):
         start = acc["at"] + F.length(row["gap"])
-        stop = start + F.length(row["word"])
-        ok = F.when(row["word"].contains("@"), True).otherwise((F.length(spans.digits(row["word"])) >= 7) & ~row["word"].rlike(r"\p{L}"))
-        left = F.element_at(F.split(F.rtrim(F.concat(F.lit(" "), row["gap"])), BLANK), -1)
-        right = F.regexp_extract(row["after"], rf"\A{BLANK}+([^\x20\x09-\x0D]+)", 1)
-        core = F.regexp_extract(row["word"], r"\A[(\[\"'<]*(.*?)[)\]\"'>.,;:!?]*\z", 1)
-        lead = F.length(F.regexp_extract(row["word"], r"\A[(\[\"'<]*", 0))
-        at = start + lead
-        item = F.struct(at.cast("long").alias("start"), (at + F.length(core)).cast("long").alias("stop"), core.alias("word"), F.lower(left).alias("left"), _bare(right).alias("right"))
-        found = F.when(row["word"].isNotNull() & ok, F.concat(acc["found"], F.array(item))).otherwise(acc["found"])
-        return F.struct(F.coalesce(stop, acc["at"]).cast("long").alias("at"), found.alias("found"))
+        more = F.when(row["word"].isNotNull() & ok(row["word"]), F.concat(acc["found"], F.array(item(row, start)))).otherwise(acc["found"])
+        return F.struct((start + F.coalesce(F.length(row["word"]), F.lit(0))).cast("long").alias("at"), more.alias("found"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found"))
-    return F.when(text.rlike("@|[0-9][^\\p{L}]{5,}[0-9]"), F.aggregate(rows, start, step, lambda a: a["found"])).otherwise(empty)
+    ok = lambda w: w.contains("@") | w.rlike(AT) | (F.length(spans.digits(w)) >= DIGITS)
+    found = F.aggregate(rows, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("found")), step, lambda a: a["found"])
+    return F.when(text.rlike(rf"@|[0-9](?:[^0-9]{{0,6}}[0-9]){{{DIGITS - 1}}}|{AT}"), found).otherwise(F.array().cast(kind))
+
+
+def _patterns(rows: DataFrame, *columns: str) -> DataFrame:
+    """columns and each pattern (side, near) of the rows' left, left2 and right."""
+    sides = F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("near")) for side in ("left", "left2", "right")))
+    return rows.select(*columns, F.explode(sides).alias("p")).select(*columns, "p.side", "p.near").where("near <> ''")
+
+
+def pattern_totals(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (side, near) with total, the occurrences of the pattern's words over all of texts (text)."""
+    words = F.transform(F.split(F.btrim("text", F.lit(_BLANKS)), BLANK + "+"), _bare)
+    words = texts.select(words.alias("words")).select(F.explode(F.arrays_zip(F.col("words").alias("w"), F.slice("words", F.lit(2), F.size("words")).alias("next"))).alias("z"))
+    near = F.explode(F.array(F.col("z.w"), F.concat(F.col("z.w"), F.lit(" "), F.col("z.next")))).alias("near")
+    names = wanted.select("near").distinct()
+    counts = words.select(near).where("near IS NOT NULL").join(checked_broadcast(names), "near").groupBy("near").agg(F.count("*").alias("total"))
+    return wanted.join(counts, "near")
 
 
 def bootstrap(scratch: Scratch, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """key, start, stop and kind of the identifiers that confident patterns discover.
+    """word and kind of the identifiers that confident patterns discover.
 
-    found: key, start, stop, word, left, right, kind (null if not a seed), one row per identifier-shaped word. texts: key and words (array) of the same texts.
+    found: word, left, left2, right, kind (null if not a seed), a row per occurrence. texts: text, all documents.
     """
-    edges = found.select("key", "start", "stop", "word", "kind", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("near")), F.struct(F.lit("right").alias("side"), F.col("right").alias("near")))).alias("p")).select("key", "start", "stop", "word", "kind", "p.side", "p.near").where("near <> ''")
-    seeded = edges.where("kind IS NOT NULL").groupBy("side", "near").agg(F.countDistinct("word").alias("seeds"), F.mode("kind", True).alias("of")).where(F.col("seeds") >= SEEDS)
-    edges = scratch.save(edges.join(seeded, ["side", "near"]), "edges")
-    if edges.isEmpty():
-        return edges.select("key", "start", "stop", "kind")
-    near = F.explode("words")
-    total = texts.select(near.alias("w")).select(F.explode(F.array(F.struct(F.lit("left").alias("side"), F.lower("w").alias("near")), F.struct(F.lit("right").alias("side"), _bare(F.col("w")).alias("near")))).alias("p")).select("p.*").groupBy("side", "near").agg(F.count("*").alias("total"))
-    graph = edges.groupBy("side", "near", "of", "word").agg(F.count("*").alias("n"), F.max(F.col("kind").isNotNull().cast("double")).alias("seed")).join(total, ["side", "near"])
-    graph = scratch.save(graph, "graph")
-    score = graph.groupBy("word").agg(F.max("seed").alias("score"))
+    edges = _patterns(found, "word", "kind").groupBy("side", "near", "word").agg(F.count("*").alias("n"), F.max("kind").alias("seed"))
+    edges = scratch.save(edges, "edges")
+    wanted = edges.groupBy("side", "near").agg(F.count("*").alias("words"), F.count("seed").alias("seeds")).where(F.col("words") >= SEEDS)
+    wanted = scratch.save(wanted, "wanted")
+    seeds = edges.where("seed IS NOT NULL").groupBy("word").agg(F.max("seed").alias("kind")).withColumn("score", F.lit(1.0))
+    nothing = seeds.select("word", "kind").limit(0)
+    if wanted.where(F.col("seeds") >= SEEDS).isEmpty():
+        return nothing
+    totals = scratch.save(pattern_totals(texts, wanted.select("side", "near")), "totals")
+    graph = scratch.save(edges.join(checked_broadcast(totals), ["side", "near"]), "graph")
+    score = scratch.save(seeds, "score")
     for _ in range(ROUNDS):
-        pattern = graph.join(score, "word").groupBy("side", "near").agg((F.sum(F.col("n") * F.col("score")) / (F.max("total") + 1)).alias("confidence"))
-        score = graph.join(pattern, ["side", "near"]).groupBy("word").agg(F.greatest(F.max("seed"), F.max("confidence")).alias("score"))
-        score = scratch.save(score, "score")
-    trusted = graph.join(score, "word").groupBy("side", "near").agg((F.sum(F.col("n") * F.col("score")) / (F.max("total") + 1)).alias("confidence")).where(F.col("confidence") >= CONFIDENCE)
-    return edges.where("kind IS NULL").join(trusted, ["side", "near"]).groupBy("key", "start", "stop").agg(F.concat(F.lit("ctx_"), F.min("of")).alias("kind"))
+        held = graph.join(checked_broadcast(score), "word")
+        sure = F.col("score") >= CONFIDENCE
+        pattern = held.groupBy("side", "near").agg(
+            (F.sum(F.col("n") * F.col("score")) / (F.max("total") + 1)).alias("confidence"), F.count(F.when(sure, 1)).alias("support"), F.mode(F.when(sure, F.col("kind")), True).alias("of")
+        )
+        pattern = scratch.save(pattern.where(F.col("support") >= SEEDS), "patterns")
+        reached = graph.join(checked_broadcast(pattern), ["side", "near"])
+        best = reached.groupBy("word").agg(F.max("confidence").alias("score"), F.max_by("of", F.struct("confidence", "of")).alias("kind"))
+        after = best.join(seeds.select("word", F.lit(True).alias("seeded")), "word", "left_anti").select("word", "kind", "score")
+        score = scratch.save(seeds.select("word", "kind", "score").unionByName(after), "score")
+    found = score.where(F.col("score") >= CONFIDENCE).join(seeds.select("word"), "word", "left_anti")
+    return found.select("word", "kind")
 
 
 def find_personal(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_context of every row of docs.
 
-    A null or empty text has no spans: counts 0, the hash of the empty string, spans ''. Rows with equal doc_id and text get equal results;
-    a null doc_id stays null. Spans are in code points, end exclusive. Other columns are ignored.
+    A null or empty text has no spans: counts 0, the hash of the empty string, spans ''. Rows with equal doc_id and text get equal results,
+    those without doc_id too; a null doc_id stays null. Empty input: no rows. Spans are in code points, end exclusive. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     base = base_spans(F.col("text"))
-    marked = rows.select("doc_id", "key", *(c.alias(k) for k, c in base), _shaped(F.col("text")).alias("shaped"), "text")
-    words = F.when(F.size("shaped") > 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)).alias("words")
+    marked = rows.select("doc_id", "key", *(c.alias(k) for k, c in base), _shaped(F.col("text")).alias("shaped"))
     slim = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
-    marked = scratch.save(marked.select("doc_id", "key", *(slim(k).alias(k) for k in KINDS), "shaped", words), "marked")
+    marked = scratch.save(marked.select("doc_id", "key", *(slim(k).alias(k) for k in KINDS), "shaped"), "marked")
     of = F.lit(None).cast("string")
     for k in reversed(KINDS):
         of = F.when(F.exists(k, lambda s: (s["start"] < F.col("i.stop")) & (s["stop"] > F.col("i.start"))), F.lit(k)).otherwise(of)
-    once = marked.where(F.size("shaped") > 0).dropDuplicates(["key"])
-    found = once.select("key", *KINDS, F.explode("shaped").alias("i")).select("key", "i.*", of.alias("kind")).where("start < stop")
-    new = bootstrap(scratch, found, once.select("words")).groupBy("key").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "kind", "stop")).alias("more"))
+    once = marked.where(F.size("shaped") > 0).dropDuplicates(["doc_id", "key"])
+    found = once.select("doc_id", "key", *KINDS, F.explode("shaped").alias("i")).select("doc_id", "key", "i.*", of.alias("kind")).where("start < stop")
+    found = scratch.save(found, "found")
+    unseen = scratch.save(bootstrap(scratch, found, rows), "unseen")
+    new = found.where("kind IS NULL").drop("kind").join(checked_broadcast(unseen), "word").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), F.concat(F.lit("ctx_"), "kind").alias("kind"), "stop")).alias("more"))
     first = spans.in_order([(k, F.col(k)) for k in KINDS])
-    out = marked.select("doc_id", "key", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), first.alias("base")).join(new, "key", "left")
+    out = marked.select("doc_id", "key", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), first.alias("base")).alias("m")
+    out = out.join(new.alias("x"), F.col("m.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("m.key") == F.col("x.key")), "left").select("m.*", "more")
     every = F.sort_array(F.concat("base", F.coalesce("more", F.slice("base", F.lit(1), F.lit(0)))))
     return out.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(spans.listed(F.col("base")), 256).alias("base_sha256"), spans.listed(every).alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_context"))
 

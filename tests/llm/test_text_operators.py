@@ -100,6 +100,33 @@ def test_context_discovers_unseen_identifiers(spark):
     assert got[200][0]["n_context"] == 0 and all(got[i][0]["n_phone"] == 1 for i in range(12))
 
 
+def test_bootstrap_precision_and_recall(spark):
+    """Planted identifiers that no base pattern knows, behind learnt cues, against the same forms in other places; and what only a second round can reach."""
+    import random
+
+    rng = random.Random(7)
+    prose = lambda n: " ".join(rng.choice("the of and river stone walks under quiet morning green hills sing".split()) for _ in range(n))
+    rows = [(i, f"{prose(9)} call mobile: +44 20 {7000 + i} {1000 + 13 * i} today {prose(5)}") for i in range(30)]
+    rows += [(100 + i, f"{prose(9)} write to mailbox: u{i}x@example.org soon {prose(5)}") for i in range(30)]
+    want = {}
+    for i in range(20):
+        rows.append((200 + i, f"{prose(6)} call mobile: 020 {7100 + i} {2000 + i} today {prose(4)}"))
+        rows.append((300 + i, f"{prose(6)} write to mailbox: u{i} (at) example (dot) net soon {prose(4)}"))
+        want |= {200 + i: f"020 {7100 + i} {2000 + i}", 300 + i: f"u{i} (at) example (dot) net"}
+    # the found numbers stand behind another cue too, which brings numbers that were in no learnt pattern
+    rows += [(400 + i, f"{prose(6)} rueckruf unter 020 {7100 + i} {2000 + i} bitte {prose(4)}") for i in range(20)]
+    rows += [(500 + i, f"{prose(6)} rueckruf unter 0171 {9100 + i} bitte {prose(4)}") for i in range(4)]
+    want |= {400 + i: f"020 {7100 + i} {2000 + i}" for i in range(20)} | {500 + i: f"0171 {9100 + i}" for i in range(4)}
+    rows += [(600 + i, f"{prose(5)} order 55{100 + i} 7{200 + i} shipped {prose(5)} the 99{1000 + i} of {prose(3)}") for i in range(40)]
+    rows += [(None, rows[0][1]), (900, None)]
+    texts = dict(rows)
+    out = pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r["doc_id"], texts[r["doc_id"]][int(s.split(":")[1]) : int(s.split(":")[2])]) for r in out for s in r["spans"].split(",") if s.startswith("ctx_")}
+    hits = found & set(want.items())
+    assert len(hits) / len(want) >= 0.95 and len(hits) / len(found) >= 0.95, (len(hits), len(found), len(want))
+    assert pii.find_personal(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_secrets(docs):
     frame, rows = docs
     got = by_id(secret_scan.scan_secrets(frame))
