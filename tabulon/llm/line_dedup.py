@@ -30,7 +30,8 @@ CLEAR = 5
 #: Records (bucket, line, sketch) that a task gathers before it pairs and emits them, and those of a task behind the shuffle on average.
 GATHERED, PART = 200_000, 500_000
 AGREE = np.array([0, *(int(SKETCH * max(0.8125 - DEVIATIONS * (0.1523 / m) ** 0.5, 0)) for m in range(1, BINS + 1))])
-_IS_BLANK = np.isin(np.arange(34), [0x20, 9, 10, 11, 12, 13])
+#: Where the two bits of a bin lie in their number.
+PLACE = np.array([2 * (31 - j) if j < 32 else 2 * (SKETCH - 1 - j) for j in range(SKETCH)], np.uint64)
 #: Column b is the order, drawn once, in which bin b looks for a filled one.
 BORROW = np.random.default_rng(5).permuted(np.tile(np.arange(BINS)[:, None], (1, BINS)), axis=0)
 
@@ -39,7 +40,11 @@ def signatures(shingles: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndar
     """n x BANDS band hashes, and two numbers with two bits of each of SKETCH bins and the count of filled bins; owner tells each shingle's line (all of 0 to n - 1 occur)."""
     empty = np.uint64(1 << 32)  # above any bin's least value
     least = np.full(n * BINS, empty)
-    np.minimum.at(least, owner * BINS + (shingles >> np.uint64(58)).astype(np.int64), (shingles >> np.uint64(26)) & np.uint64(0xFFFFFFFF))
+    cell = (shingles >> np.uint64(58)).view(np.int64)
+    cell += owner * BINS
+    value = shingles >> np.uint64(26)
+    value &= np.uint64(0xFFFFFFFF)
+    np.minimum.at(least, cell, value)
     least = least.reshape(n, BINS)
     row, bin_ = np.nonzero(least == empty)
     hollow = least == empty
@@ -50,17 +55,14 @@ def signatures(shingles: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndar
         found = ~hollow[row, source]
         least[row[found], bin_[found]] = least[row[found], source[found]]
         row, bin_ = row[~found], bin_[~found]
-    bands = np.empty((n, BANDS), np.uint64)
-    for b in range(BANDS):
-        h = np.full(n, b + 1, np.uint64) * textkernels._SLOT[5]
-        for j in range(ROWS):
-            h += least[:, b + j * (BINS // ROWS)] * textkernels._SLOT[j]
-        bands[:, b] = textkernels.mix(h)
-    sketch = np.zeros((n, 2), np.uint64)
-    for j in range(SKETCH):
-        sketch[:, j // 32] = (sketch[:, j // 32] << np.uint64(2)) | (textkernels.mix(least[:, j].copy()) & np.uint64(3))
-    sketch[:, 1] = (sketch[:, 1] << np.uint64(8)) | (BINS - hollow.sum(1)).astype(np.uint64)
-    return bands, sketch
+    by_bin = np.ascontiguousarray(least.T)
+    bands = (np.arange(1, BANDS + 1, dtype=np.uint64) * textkernels._SLOT[5])[:, None] + (by_bin.reshape(ROWS, BANDS, n) * textkernels._SLOT[:ROWS, None, None]).sum(0)
+    textkernels.mix(bands)
+    bits = textkernels.mix(by_bin[:SKETCH].copy()) & np.uint64(3)
+    bits <<= PLACE[:, None]
+    filled = (BINS - hollow.sum(1)).astype(np.uint64)
+    sketch = np.stack([np.bitwise_or.reduce(bits[:32], 0), (np.bitwise_or.reduce(bits[32:], 0) << np.uint64(8)) | filled], 1)
+    return np.ascontiguousarray(bands.T), sketch
 
 
 def lines_of(column: pa.Array, signed: bool = True):
@@ -72,22 +74,21 @@ def lines_of(column: pa.Array, signed: bool = True):
         if not len(data):
             continue
         points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
         total = len(points)
+        at = offsets if total == len(data) else offsets - np.searchsorted(np.flatnonzero((data & 0xC0) == 0x80), offsets)
         breaks = points == 10
-        newlines = np.concatenate([[0], np.cumsum(breaks)])
-        solid = np.concatenate([[0], np.cumsum(~_IS_BLANK[np.minimum(points, 33)])])
-        starts = np.unique(np.concatenate([at[:-1], np.flatnonzero(breaks) + 1]))
+        newlines = np.flatnonzero(breaks)
+        starts = np.unique(np.concatenate([at[:-1], newlines + 1]))
         starts = starts[starts < total]
         ends = np.r_[starts[1:], total]
         ends = ends - breaks[ends - 1]
-        real = solid[ends] > solid[starts]
+        real = np.logical_or.reduceat((points != 0x20) & (points - np.uint32(9) > 4), starts)
         starts, ends = starts[real], ends[real]
         if not len(starts):
             continue
         up, down = textkernels.powers(total)
-        sums = points.astype(np.uint64)
-        sums += np.uint64(1)
+        wide = points.astype(np.uint64)
+        sums = wide + np.uint64(1)
         sums *= up
         np.cumsum(sums, out=sums)
         h = sums[ends - 1]
@@ -95,22 +96,21 @@ def lines_of(column: pa.Array, signed: bool = True):
         h = textkernels.mix(h * down[starts])
         if not signed:
             text = np.searchsorted(at, starts, "right") - 1
-            yield row + text, newlines[starts] - newlines[at[text]], h
+            yield row + text, np.searchsorted(newlines, starts) - np.searchsorted(newlines, at[text]), h
             continue
-        h, once = np.unique(h, return_index=True)
-        starts, ends = starts[once], ends[once]
-        wide = points.astype(np.uint64)
+        once = np.sort(np.unique(h, return_index=True)[1])
+        h, starts, ends = h[once], starts[once], ends[once]
         m = max(total - SHINGLE + 1, 0)
-        s = np.zeros(m, np.uint64)
+        s, term = np.zeros(total, np.uint64), np.empty(m, np.uint64)  # the last places begin no shingle
         for j in range(SHINGLE if m else 0):
-            s += wide[j : j + m] * textkernels._SLOT[j]
+            s[:m] += np.multiply(wide[j : j + m], textkernels._SLOT[j], out=term)
         textkernels.mix(s)
         count = np.maximum(ends - starts - SHINGLE + 1, 1)
+        first = np.cumsum(count) - count
         owner = np.repeat(np.arange(len(starts)), count)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts, count)
-        shingles = s[np.minimum(place, max(m - 1, 0))] if m else np.zeros(len(owner), np.uint64)
+        shingles = s[np.arange(len(owner)) + np.repeat(starts - first, count)]
         tiny = ends - starts < SHINGLE  # the whole line is its one shingle
-        shingles[(np.cumsum(count) - count)[tiny]] = h[tiny]
+        shingles[first[tiny]] = h[tiny]
         yield h, *signatures(shingles, owner, len(starts))
 
 
@@ -140,7 +140,7 @@ _RECORD = np.dtype([("bucket", "<u8"), ("line", "<i8"), ("sketch", "<u8", 2)])
 
 def _pairs(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (lead, line) of records that share a bucket and agree, and the records that remain for others to be paired with: each bucket's leads."""
-    records = records[np.argsort(records["bucket"], kind="stable")]
+    records = records[np.argsort(records["bucket"])]
     same = records["bucket"][1:] == records["bucket"][:-1]
     shared = np.r_[same, False] | np.r_[False, same]
     alone, records = records[~shared], records[shared]

@@ -20,11 +20,11 @@ _SLOT = np.array([pow(0xD6E8FEB86659FD93, 2 * j + 3, 1 << 64) for j in range(16)
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer; changes h in place."""
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xC4CEB9FE1A85EC53)
-    h ^= h >> np.uint64(33)
+    high = h >> np.uint64(33)
+    h ^= high
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h *= np.uint64(factor)
+        h ^= np.right_shift(h, np.uint64(33), out=high)
     return h
 
 
