@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabulon.queries import algorithms, arrays, elementwise
+from tabulon.queries import algorithms, arrays, elementwise, gradients, identities
 
-MODULES = (elementwise, arrays, algorithms)
+MODULES = (elementwise, arrays, algorithms, gradients, identities)
 
 
 def queries() -> dict:

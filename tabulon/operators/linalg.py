@@ -45,6 +45,7 @@ def per_matrix(a: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray]]) -
 
 def per_pair(a: DataFrame, b: DataFrame, f: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
     """f of every matrix of a and the one of b with its name."""
+    b = b.toDF(*b.columns)  # columns of its own, as b may come from a
     return a.groupBy("m").cogroup(b.groupBy("m")).applyInPandas(lambda key, x, y: _long(key[0], f(_dense(x), _dense(y))), OUT)
 
 
