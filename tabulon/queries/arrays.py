@@ -187,7 +187,7 @@ q("einsum_three", f"WITH {M}, c AS (SELECT i1 AS k, avg(v) AS c FROM m GROUP BY
 q("matmul_bias", f"WITH {M}, c AS (SELECT i1, avg(v) AS c FROM m GROUP BY i1) SELECT i0, g.i1, {r('v + c')} AS v FROM ({_G}) g JOIN c ON g.i1 = c.i1")(lambda s, d: (lambda t: C.matmul_bias(t.transpose(), t, t.mean([0])))(matrix(s, d)))
 q("matmul_bias_activation", f"WITH {M}, c AS (SELECT i1, avg(v) AS c FROM m GROUP BY i1) SELECT i0, g.i1, {r('greatest(v + c, 0)')} AS v FROM ({_G}) g JOIN c ON g.i1 = c.i1")(lambda s, d: (lambda t: C.matmul_bias_activation(t.transpose(), t, t.mean([0]), "relu"))(matrix(s, d)))
 q("matmul_bias_residual", f"WITH {M}, c AS (SELECT i1, avg(v) AS c FROM m GROUP BY i1) SELECT i0, g.i1, {r('v + c + CASE WHEN i0 = g.i1 THEN 1 ELSE 0 END')} AS v FROM ({_G}) g JOIN c ON g.i1 = c.i1")(lambda s, d: (lambda t: C.matmul_bias_residual(t.transpose(), t, t.mean([0]), Tensor.eye(s, WIDTH)))(matrix(s, d)))
-q("matmul_bias_activation_bwd", f"WITH {M} SELECT i1 AS i0, {r('count(*) * 1.0')} AS v FROM m WHERE i0 < 64 GROUP BY i1")(lambda s, d: (lambda t: C.matmul_bias_activation_bwd(Tensor.ones(s, (64, 64)), t, t, Tensor.zeros(s, (64,)), "none")[2])(matrix(s, d).narrow(0, 0, 64)))
+q("matmul_bias_activation_bwd", f"WITH {M} SELECT i1 AS i0, {r('count(*) * 1.0')} AS v FROM m GROUP BY i1")(lambda s, d: (lambda t: C.matmul_bias_activation_bwd(Tensor.ones(s, t.shape), t, Tensor.eye(s, WIDTH), Tensor.zeros(s, (WIDTH,)), "none")[2])(matrix(s, d)))
 for _op, _agg, _times in [("min_plus", "min", "a.v + b.v"), ("max_plus", "max", "a.v + b.v"), ("max_min", "max", "least(a.v, b.v)"), ("min_max", "min", "greatest(a.v, b.v)"), ("plus_max", "sum", "greatest(a.v, b.v)"), ("or_and", "max", "CASE WHEN a.v <> 0 AND b.v <> 0 THEN 1.0 ELSE 0.0 END"), ("plus_times", "sum", "a.v * b.v")]:
     q(f"semiring_{_op}", f"WITH {FL} SELECT a.\"row\" AS i0, b.col AS i1, {r(f'{_agg}({_times})', 6)} AS v FROM f a JOIN f b ON a.col = b.\"row\" GROUP BY 1, 2", 6)((lambda o: lambda s, d: (lambda t: C.semiring_matmul(t, t, o))(flows(s, d).tensor()))(_op))
 q("prune_to_24", f"WITH {M} SELECT i0, i1, {r('v')} AS v FROM (SELECT *, row_number() OVER (PARTITION BY i0, i1 // 4 ORDER BY abs(v) DESC, i1) AS k FROM m) WHERE k <= 2")(lambda s, d: C.prune_to_24(matrix(s, d)))
