@@ -27,6 +27,8 @@ BINS, BANDS, ROWS = 64, 16, 4
 SKETCH, DEVIATIONS = 60, 3.2
 #: A line that agrees in so many bins more needs no other lead.
 CLEAR = 5
+#: Bytes of text handled at once; their arrays fit a processor's cache.
+PIECE = 1 << 18
 #: Records (bucket, line, sketch) that a task gathers before it pairs and emits them, and those of a task behind the shuffle on average.
 GATHERED, PART = 200_000, 500_000
 AGREE = np.array([0, *(int(SKETCH * max(0.8125 - DEVIATIONS * (0.1523 / m) ** 0.5, 0)) for m in range(1, BINS + 1))])
@@ -37,40 +39,44 @@ BORROW = np.random.default_rng(5).permuted(np.tile(np.arange(BINS)[:, None], (1,
 
 
 def signatures(shingles: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """n x BANDS band hashes, and two numbers with two bits of each of SKETCH bins and the count of filled bins; owner tells each shingle's line (all of 0 to n - 1 occur)."""
-    empty = np.uint64(1 << 32)  # above any bin's least value
-    least = np.full(n * BINS, empty)
+    """n x BANDS band hashes, and two numbers with two bits of each of SKETCH bins and the count of filled bins.
+
+    owner tells each shingle's line; all of 0 to n - 1 occur, and what belongs to no line has owner n.
+    """
+    empty = np.uint32(0xFFFFFFFF)
+    least = np.full((n + 1) * BINS, empty)
     cell = (shingles >> np.uint64(58)).view(np.int64)
     cell += owner * BINS
-    value = shingles >> np.uint64(26)
-    value &= np.uint64(0xFFFFFFFF)
-    np.minimum.at(least, cell, value)
-    least = least.reshape(n, BINS)
-    row, bin_ = np.nonzero(least == empty)
+    np.minimum.at(least, cell, (shingles >> np.uint64(26)).astype(np.uint32))
+    least = least[: n * BINS]
     hollow = least == empty
+    at = np.flatnonzero(hollow)
     for step in BORROW:
-        if not len(row):
+        if not len(at):
             break
-        source = step[bin_]
-        found = ~hollow[row, source]
-        least[row[found], bin_[found]] = least[row[found], source[found]]
-        row, bin_ = row[~found], bin_[~found]
-    by_bin = np.ascontiguousarray(least.T)
-    bands = (np.arange(1, BANDS + 1, dtype=np.uint64) * textkernels._SLOT[5])[:, None] + (by_bin.reshape(ROWS, BANDS, n) * textkernels._SLOT[:ROWS, None, None]).sum(0)
+        source = at - at % BINS + step[at % BINS]
+        found = ~hollow[source]
+        least[at[found]] = least[source[found]]
+        at = at[~found]
+    by_bin = least.reshape(n, BINS).T.astype(np.uint64, order="C")
+    bands = np.repeat((np.arange(1, BANDS + 1, dtype=np.uint64) * textkernels._SLOT[5])[:, None], n, axis=1)
+    for j in range(ROWS):
+        bands += by_bin[j * BANDS : (j + 1) * BANDS] * textkernels._SLOT[j]
     textkernels.mix(bands)
-    bits = textkernels.mix(by_bin[:SKETCH].copy()) & np.uint64(3)
+    bits = by_bin[:SKETCH]
+    bits &= np.uint64(3)
     bits <<= PLACE[:, None]
-    filled = (BINS - hollow.sum(1)).astype(np.uint64)
+    filled = (BINS - hollow.reshape(n, BINS).sum(1)).astype(np.uint64)
     sketch = np.stack([np.bitwise_or.reduce(bits[:32], 0), (np.bitwise_or.reduce(bits[32:], 0) << np.uint64(8)) | filled], 1)
     return np.ascontiguousarray(bands.T), sketch
 
 
 def lines_of(column: pa.Array, signed: bool = True):
-    """(text, number of the line in its text, 64-bit hash) of all lines with a word, as arrays, about half a megabyte of text at a time.
+    """(text, number of the line in its text, 64-bit hash) of all lines with a word, as arrays, about PIECE bytes of text at a time.
 
     If signed: (hash, band hashes, sketch) of the different ones instead.
     """
-    for row, data, offsets in textkernels.chunks(column):
+    for row, data, offsets in textkernels.chunks(column, PIECE):
         if not len(data):
             continue
         points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -100,18 +106,19 @@ def lines_of(column: pa.Array, signed: bool = True):
             continue
         once = np.sort(np.unique(h, return_index=True)[1])
         h, starts, ends = h[once], starts[once], ends[once]
-        m = max(total - SHINGLE + 1, 0)
-        s, term = np.zeros(total, np.uint64), np.empty(m, np.uint64)  # the last places begin no shingle
-        for j in range(SHINGLE if m else 0):
-            s[:m] += np.multiply(wide[j : j + m], textkernels._SLOT[j], out=term)
+        s, term = wide.copy(), np.empty(total, np.uint64)  # the last places begin no shingle
+        for j in range(1, SHINGLE):
+            m = max(total - j, 0)
+            s[:m] += np.multiply(wide[j:], textkernels._SLOT[j], out=term[:m])
         textkernels.mix(s)
-        count = np.maximum(ends - starts - SHINGLE + 1, 1)
-        first = np.cumsum(count) - count
-        owner = np.repeat(np.arange(len(starts)), count)
-        shingles = s[np.arange(len(owner)) + np.repeat(starts - first, count)]
         tiny = ends - starts < SHINGLE  # the whole line is its one shingle
-        shingles[first[tiny]] = h[tiny]
-        yield h, *signatures(shingles, owner, len(starts))
+        s[starts[tiny]] = h[tiny]
+        # places of a line's shingles and those behind them take turns
+        count = np.maximum(ends - starts - SHINGLE + 1, 1)
+        turns = np.stack([count, np.r_[starts[1:], total] - starts - count], 1).ravel()
+        owner = np.repeat(np.stack([np.arange(len(starts)), np.full(len(starts), len(starts))], 1).ravel(), turns)
+        s = s[starts[0] :]
+        yield h, *signatures(s, owner, len(starts))
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
@@ -140,10 +147,12 @@ _RECORD = np.dtype([("bucket", "<u8"), ("line", "<i8"), ("sketch", "<u8", 2)])
 
 def _pairs(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (lead, line) of records that share a bucket and agree, and the records that remain for others to be paired with: each bucket's leads."""
-    records = records[np.argsort(records["bucket"])]
-    same = records["bucket"][1:] == records["bucket"][:-1]
+    buckets = np.ascontiguousarray(records["bucket"])
+    order = np.argsort(buckets)
+    buckets = buckets[order]
+    same = buckets[1:] == buckets[:-1]
     shared = np.r_[same, False] | np.r_[False, same]
-    alone, records = records[~shared], records[shared]
+    alone, records = records[order[~shared]], records[order[shared]]
     records = records[np.lexsort((records["line"], records["bucket"]))]
     again = (records["bucket"][1:] == records["bucket"][:-1]) & (records["line"][1:] == records["line"][:-1])
     left = records[~np.r_[False, again]] if len(records) else records
@@ -171,7 +180,8 @@ def _leads(rows: DataFrame, records: int) -> DataFrame:
     def emit(held):
         pairs, leads = _pairs(np.concatenate(held))
         cells = {}
-        for which, block, packed in ((0, (pairs[:, 0].view(np.uint64) >> np.uint64(40)) % np.uint64(parts), pairs), (1, (leads["bucket"] >> np.uint64(40)) % np.uint64(parts), leads)):
+        for which, key, packed in ((0, pairs[:, 0].view(np.uint64), pairs), (1, leads["bucket"], leads)):
+            block = (key >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)  # ranges of keys, which are nearly in order
             order = np.argsort(block, kind="stable")
             block, packed = block[order], packed[order]
             cuts = [0, *np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
