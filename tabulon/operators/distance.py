@@ -27,7 +27,9 @@ def cosine(x, y):
 
 def correlation(x, y):
     """Cosine distance of the centred vectors; 0 if one has no spread."""
-    centred = lambda c: F.transform(c, lambda e: e - F.aggregate(c, F.lit(0.0), lambda a, b: a + b) / F.size(c))
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b) / F.size(c)
+    # bound to a lambda's variable, the mean is computed once and not for each component
+    centred = lambda c: F.get(F.transform(F.array(mean(c)), lambda m: F.transform(c, lambda e: e - m)), F.lit(0))
     return cosine(centred(x), centred(y))
 
 

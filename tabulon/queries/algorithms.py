@@ -9,7 +9,7 @@ from tabulon.operators import autograd as A
 from tabulon.operators import collectives, iterative, linalg, sparse_direct, tensor_decompose, transforms
 from tabulon.operators.sparse import Sparse
 from tabulon.plans.tensor import Tensor
-from tabulon.queries.arrays import M, flows, matrix, r
+from tabulon.queries.arrays import CS, M, class_sums, flows, matrix, r
 from tabulon.queries.elementwise import P, U, X
 from tabulon.sources import random as R
 from tabulon.streaming import windows
@@ -89,11 +89,11 @@ q("direct_sparse_lu_solve", _SOL, 3)(lambda s, d: sparse_direct.sparse_lu_solve(
 q("direct_sparse_solve_triangular", _ONES, 3)(lambda s, d: (lambda t: sparse_direct.sparse_solve_triangular(t, t.spmv(Tensor.arange(s, 1, 26))))(Sparse(system(s, d)[0].df.where("col <= row"), (25, 25))))
 
 
-def _cube(s, d) -> Tensor: return (lambda t: t.narrow(0, 0, 20).reshape((20, 8, 8)))(matrix(s, d))
+def _cube(s, d) -> Tensor: return (lambda t: t.reshape((t.shape[0], 8, 8)))(class_sums(s, d))
 
 
-_CUBE = f"WITH {M} SELECT i0, i1 // 8 AS i1, i1 % 8 AS i2, {r('v', 3)} AS v FROM m WHERE i0 < 20"
-q("hosvd_reconstruct", _CUBE, 3)(lambda s, d: tensor_decompose.tucker_reconstruct(tensor_decompose.hosvd(_cube(s, d), (20, 8, 8))))
+_CUBE = f"WITH {M}, {CS} SELECT i0, i1 // 8 AS i1, i1 % 8 AS i2, {r('v', 3)} AS v FROM cs"
+q("hosvd_reconstruct", _CUBE, 3)(lambda s, d: (lambda t: tensor_decompose.tucker_reconstruct(tensor_decompose.hosvd(t, t.shape)))(_cube(s, d)))
 q("tucker", digits=2)(lambda s, d: tensor_decompose.tucker(_cube(s, d), (4, 3, 3), 2).core.map(F.abs))
 q("tensor_train_reconstruct", _CUBE, 3)(lambda s, d: tensor_decompose.tt_reconstruct(s, tensor_decompose.tensor_train(_cube(s, d), 64)))
 q("cp_decompose", digits=2)(lambda s, d: tensor_decompose.cp_reconstruct(s, *tensor_decompose.cp_decompose(_cube(s, d), 2, 2)))

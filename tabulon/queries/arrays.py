@@ -39,7 +39,15 @@ def parts(spark, sf_dir) -> S.Sparse:
     return S.Sparse.summed(n.select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("v")), (top[0] + 1, top[1] + 1))
 
 
+def class_sums(spark, sf_dir) -> Tensor:
+    """Sum of the vectors of each class, classes x 64."""
+    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("i0"), F.col("label").alias("v"))
+    n, top = labels.agg(F.count("*"), F.max("v")).first()
+    return C.einsum("ij,ik->jk", T.one_hot(Tensor(labels, (n,)), top + 1), matrix(spark, sf_dir))
+
+
 M = "m AS (SELECT vec_id AS i0, generate_subscripts(embedding, 1) - 1 AS i1, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
+CS = "l AS (SELECT vec_id AS i0, label FROM embeddings), cs AS (SELECT g AS i0, j AS i1, coalesce(sum(v), 0) AS v FROM range((SELECT max(label) + 1 FROM embeddings)) t(g) CROSS JOIN range(64) u(j) LEFT JOIN (m JOIN l USING (i0)) ON label = g AND i1 = j GROUP BY 1, 2)"
 EV = "e AS (SELECT event_id AS i0, value AS v FROM events)"
 FL = "f AS (SELECT c_nationkey AS \"row\", s_nationkey AS col, sum(l_quantity / 100) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"
 PA = "p AS (SELECT l_suppkey AS \"row\", l_partkey AS col, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
@@ -135,7 +143,17 @@ q("take", f"WITH {M} SELECT g AS i0, {r('v')} AS v FROM range(100) t(g) JOIN m O
 q("put", f"WITH {M} SELECT i0, i1, {r('CASE WHEN (i0 * 64 + i1) % 5 = 0 AND i0 * 64 + i1 < 500 THEN 7 ELSE v END')} AS v FROM m")(lambda s, d: indexing.put(matrix(s, d), picks(s, 100, 5, 10**9), Tensor.fill(s, (100,), 7)))
 q("masked_select", f"WITH {M} SELECT i0 * 64 + i1 AS place, {r('v')} AS v FROM m WHERE v > 0.1")(lambda s, d: (lambda t: indexing.masked_select(t, t.map(lambda v: (v > 0.1).cast("double"))))(matrix(s, d)))
 q("masked_fill", f"WITH {M} SELECT i0, i1, {r('CASE WHEN v < 0 THEN 5 ELSE v END')} AS v FROM m")(lambda s, d: (lambda t: indexing.masked_fill(t, t.map(lambda v: (v < 0).cast("double")), 5.0))(matrix(s, d)))
-q("embedding_lookup", f"WITH {M} SELECT l_orderkey * 8 + l_linenumber AS i0, i1, {r('v')} AS v FROM lineitem JOIN m ON m.i0 = l_suppkey % 50 WHERE l_linenumber = 1")(lambda s, d: indexing.embedding_lookup(matrix(s, d), Tensor(s.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber = 1").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("i0"), (F.col("l_suppkey") % 50).cast("double").alias("v")), (1,))))
+
+
+# every line item looks up a vector; the sums by line number hold all of them
+@q("embedding_lookup", f"WITH {M}, x AS (SELECT l_linenumber, l_partkey % n AS k FROM lineitem, (SELECT count(*) AS n FROM embeddings)) SELECT l_linenumber AS i0, i1, {r('sum(v)', 3)} AS v FROM x JOIN m ON i0 = k GROUP BY 1, 2", 3)
+def _lookup(s, d):
+    t = matrix(s, d)
+    index = s.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("i0"), (F.col("l_partkey") % t.shape[0]).cast("double").alias("v"))
+    return indexing.embedding_lookup(t, Tensor(index, (1,))).df.groupBy((F.col("i0") % 8).cast("int").alias("i0"), "i1").agg(F.sum("v").alias("v"))
+
+
+
 q("gather_nd", f"WITH {M} SELECT g AS i0, {r('coalesce(v, 0)')} AS v FROM range(70) t(g) LEFT JOIN m ON i0 = g AND i1 = g")(lambda s, d: indexing.gather_nd(matrix(s, d), Tensor.generate(s, (70, 2), lambda i: F.expr("double(id div 2)"))))
 q("gather_2d", f"WITH {M} SELECT g AS i0, {r('v')} AS v FROM range(60) t(g) JOIN m ON i0 = g AND i1 = 63 - g")(lambda s, d: indexing.gather_2d(matrix(s, d), Tensor.arange(s, 0, 60), Tensor.arange(s, 63, 3, -1)))
 q("bincount", "SELECT g AS i0, CAST(count(l_quantity) AS DOUBLE) AS v FROM range(60) t(g) LEFT JOIN lineitem ON l_quantity = g GROUP BY g")(lambda s, d: indexing.bincount(s.read.parquet(f"{d}/lineitem.parquet"), "l_quantity", minlength=60))
@@ -157,12 +175,18 @@ q("stats_cov", f"WITH {M} SELECT i0, i1, {r('c')} AS v FROM ({_COV})")(lambda s,
 q("stats_corrcoef", f"WITH {M} SELECT i0, i1, {r('c / (x * y)')} AS v FROM ({_COV})")(lambda s, d: stats.corrcoef(matrix(s, d)))
 q("stats_mode", "SELECT l_quantity AS v, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, v LIMIT 1")(lambda s, d: stats.mode(Tensor(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("i0"), F.col("l_quantity").alias("v")), (1,))))
 
-_VE = "x AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), y AS (SELECT * FROM x WHERE i < 10)"
+_VE = "x AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), y AS (SELECT * FROM x WHERE i % 20 = 0), z AS (SELECT i // 20 AS i, v FROM y)"
 
 
 def _sides(s, d):
+    """All vectors, and as queries those whose id is divisible by 20."""
     x = distance.vectors(s.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding")
-    return x, x.where("i < 10")
+    return x, x.where("i % 20 = 0")
+
+
+def _square(s, d):
+    queries = _sides(s, d)[1].select(F.expr("i div 20").alias("i"), "vec")
+    return distance.squareform(distance.pdist(queries), queries.count())
 
 
 _Z = "list_sum(list_transform(range(1, 65), lambda k: {}))"
@@ -174,8 +198,8 @@ for _name, _sql in [
     q(f"cdist_{_name}", f"WITH {_VE} SELECT x.i AS i0, y.i AS i1, {r(_sql)} AS v FROM x, y")((lambda n: lambda s, d: distance.cdist(*_sides(s, d), n))(_name))
 q("cdist_minkowski", f"WITH {_VE} SELECT x.i AS i0, y.i AS i1, {r('pow(' + _Z.format('pow(abs(x.v[k] - y.v[k]), 3)') + ', 1.0 / 3)')} AS v FROM x, y")(lambda s, d: distance.cdist(*_sides(s, d), "minkowski", 3))
 q("pdist", f"WITH {_VE} SELECT x.i AS i0, y.i AS i1, {r('list_distance(x.v, y.v)')} AS v FROM x JOIN x y ON x.i < y.i")(lambda s, d: distance.pdist(_sides(s, d)[0]))
-q("squareform", f"WITH {_VE} SELECT x.i AS i0, y.i AS i1, {r('list_distance(x.v, y.v)')} AS v FROM y x, y")(lambda s, d: distance.squareform(distance.pdist(_sides(s, d)[1]), 10))
-q("squareform_inverse", f"WITH {_VE} SELECT x.i AS i0, y.i AS i1, {r('list_distance(x.v, y.v)')} AS v FROM y x JOIN y ON x.i < y.i")(lambda s, d: distance.squareform_inverse(distance.squareform(distance.pdist(_sides(s, d)[1]), 10)))
+q("squareform", f"WITH {_VE} SELECT x.i AS i0, y.i AS i1, {r('list_distance(x.v, y.v)')} AS v FROM z x, z y")(_square)
+q("squareform_inverse", f"WITH {_VE} SELECT x.i AS i0, y.i AS i1, {r('list_distance(x.v, y.v)')} AS v FROM z x JOIN z y ON x.i < y.i")(lambda s, d: distance.squareform_inverse(_square(s, d)))
 
 _G = "SELECT a.i1 AS i0, b.i1 AS i1, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.i0 = b.i0 GROUP BY 1, 2"
 q("matmul", f"WITH {M} SELECT i0, i1, {r('v')} AS v FROM ({_G})")(lambda s, d: (lambda t: C.matmul(t.transpose(), t))(matrix(s, d)))
@@ -192,7 +216,7 @@ for _op, _agg, _times in [("min_plus", "min", "a.v + b.v"), ("max_plus", "max",
     q(f"semiring_{_op}", f"WITH {FL} SELECT a.\"row\" AS i0, b.col AS i1, {r(f'{_agg}({_times})', 6)} AS v FROM f a JOIN f b ON a.col = b.\"row\" GROUP BY 1, 2", 6)((lambda o: lambda s, d: (lambda t: C.semiring_matmul(t, t, o))(flows(s, d).tensor()))(_op))
 q("prune_to_24", f"WITH {M} SELECT i0, i1, {r('v')} AS v FROM (SELECT *, row_number() OVER (PARTITION BY i0, i1 // 4 ORDER BY abs(v) DESC, i1) AS k FROM m) WHERE k <= 2")(lambda s, d: C.prune_to_24(matrix(s, d)))
 q("sparse_24_to_dense", f"WITH {M} SELECT i0, i1, {r('CASE WHEN k <= 2 THEN v ELSE 0 END')} AS v FROM (SELECT *, row_number() OVER (PARTITION BY i0, i1 // 4 ORDER BY abs(v) DESC, i1) AS k FROM m)")(lambda s, d: C.sparse_24_to_dense(C.prune_to_24(matrix(s, d))))
-q("sparse_24_matmul", f"WITH {M}, w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i0, i1 // 4 ORDER BY abs(v) DESC, i1) AS k FROM m WHERE i0 < 16) WHERE k <= 2) SELECT m.i0, w.i0 AS i1, {r('sum(m.v * w.v)')} AS v FROM m JOIN w USING (i1) GROUP BY 1, 2")(lambda s, d: (lambda t: C.sparse_24_matmul(t, C.prune_to_24(t.narrow(0, 0, 16))))(matrix(s, d)))
+q("sparse_24_matmul", f"WITH {M}, g AS ({_G}), w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i0, i1 // 4 ORDER BY abs(v) DESC, i1) AS k FROM g) WHERE k <= 2) SELECT m.i0, w.i0 AS i1, {r('sum(m.v * w.v)', 4)} AS v FROM m JOIN w USING (i1) GROUP BY 1, 2", 4)(lambda s, d: (lambda t: C.sparse_24_matmul(t, C.prune_to_24(_gram(s, d))))(matrix(s, d)))
 for _k in ("e4m3", "e5m2"):
     q(f"fp8_decode_{_k}")((lambda k: lambda s, d: C.fp8_decode(Tensor.generate(s, (120,), lambda i: i.cast("double")), k))(_k))
 q("fp8_matmul")(lambda s, d: (lambda t: C.fp8_matmul(t, t.transpose()))(Tensor.generate(s, (8, 8), lambda i: (i % 100).cast("double"))))
@@ -232,7 +256,7 @@ q("halton", "WITH RECURSIVE h(id, n, f, v) AS (SELECT g, g, 1.0::DOUBLE, 0.0::DO
 q("sobol", "WITH RECURSIVE g AS (SELECT i AS id, xor(i, i >> 1) AS c FROM range(200) t(i)), h(id, c, f, v) AS (SELECT id, c, 1.0::DOUBLE, 0.0::DOUBLE FROM g UNION ALL SELECT id, c // 2, f / 2, v + f / 2 * (c % 2) FROM h WHERE c > 0) SELECT id AS i0, 0 AS i1, max(v) AS v FROM h GROUP BY id", 12)(lambda s, d: R.sobol(s, 200, 1))
 
 q("kron", "SELECT a * 2 + c AS i0, b * 2 + e AS i1, CAST((a * 2 + b + 1) * (c * 2 + e + 1) AS DOUBLE) AS v FROM range(2) t(a), range(2) u(b), range(2) w(c), range(2) z(e)")(lambda s, d: (lambda t: linalg.kron(t, t))(Tensor.from_slice(s, [1, 2, 3, 4], (2, 2))))
-q("khatri_rao", f"WITH {M} SELECT a.i0 * 3 + b.i0 AS i0, i1, {r('a.v * b.v')} AS v FROM m a JOIN m b USING (i1) WHERE b.i0 < 3")(lambda s, d: (lambda t: linalg.khatri_rao(t, t.narrow(0, 0, 3)))(matrix(s, d)))
+q("khatri_rao", f"WITH {M}, {CS} SELECT a.i0 * (SELECT max(label) + 1 FROM embeddings) + b.i0 AS i0, i1, {r('a.v * b.v')} AS v FROM m a JOIN cs b USING (i1)")(lambda s, d: linalg.khatri_rao(matrix(s, d), class_sums(s, d)))
 q("trace", f"WITH {M} SELECT {r('sum(v)')} AS v FROM m WHERE i0 = i1")(lambda s, d: linalg.trace(matrix(s, d)))
 q("diag", f"WITH {M} SELECT i0, {r('v')} AS v FROM m WHERE i0 = i1")(lambda s, d: linalg.diag(matrix(s, d)))
 q("diagflat", "SELECT a AS i0, b AS i1, CASE WHEN a = b THEN a * 1.0 ELSE 0 END AS v FROM range(6) t(a), range(6) u(b)")(lambda s, d: linalg.diagflat(Tensor.arange(s, 0, 6)))
@@ -305,10 +329,12 @@ SELECT label, count(*) AS n, sum(CASE WHEN k = label THEN 1 ELSE 0 END) AS n_rig
 @q("centroid_accuracy", _CA, 4)
 def centroid_accuracy(spark, sf_dir):
     """Vectors by their most similar class centroid: per class, how many there are, how many are right and the mean similarity."""
-    t = matrix(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("i0"), "label")
-    rows = t.df.join(F.broadcast(labels), "i0")
-    centres = F.broadcast(rows.groupBy(F.col("label").alias("k"), "i1").agg(F.avg("v").alias("c")))  # classes x 64
-    scores = t.df.join(centres, "i1").groupBy("i0", "k").agg((F.sum(F.col("v") * F.col("c")) / F.sqrt(F.sum(F.col("v") * F.col("v")) * F.sum(F.col("c") * F.col("c")))).alias("s"))
-    best = scores.groupBy("i0").agg(F.max(F.struct("s", (-F.col("k")).alias("k"))).alias("b")).select("i0", F.col("b.s").alias("s"), (-F.col("b.k")).alias("k"))
-    return best.join(labels, "i0").groupBy("label").agg(F.count("*").alias("n"), F.sum((F.col("k") == F.col("label")).cast("long")).alias("n_right"), F.avg("s").alias("similarity"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.col("embedding").cast("array<double>").alias("x"))
+    means = rows.select("label", F.posexplode("x").alias("j", "v")).groupBy("label", "j").agg(F.avg("v").alias("v"))
+    classes = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda e: e["v"]).alias("c"))
+    # one row with a centroid of 64 numbers a class, which every vector meets without a shuffle
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda t, e: t + e)
+    table = F.broadcast(classes.agg(F.collect_list(F.struct(F.col("label").alias("k"), "c", F.sqrt(dot(F.col("c"), F.col("c"))).alias("norm"))).alias("classes")))
+    score = lambda c: F.struct((dot(F.col("x"), c["c"]) / c["norm"]).alias("s"), (-c["k"]).alias("k"))
+    best = rows.crossJoin(table).select("label", F.array_max(F.transform("classes", score)).alias("b"), F.sqrt(dot(F.col("x"), F.col("x"))).alias("norm"))
+    return best.groupBy("label").agg(F.count("*").alias("n"), F.sum((-F.col("b.k") == F.col("label")).cast("long")).alias("n_right"), F.avg(F.col("b.s") / F.col("norm")).alias("similarity"))

@@ -6,11 +6,13 @@ import os
 import duckdb
 import pytest
 
-from tabulon.queries import gradients, identities
+from tabulon.queries import arrays, gradients, identities
 
 CASES = [
     (gradients, n) for n in ("var_pow", "var_softmax", "var_cumprod", "var_gather", "var_group_norm", "var_inverse", "var_cholesky", "dual_div", "dual_narrow", "jvp_multi")
-] + [(identities, n) for n in ("special_erfinv_identity", "special_betaincinv_identity", "linalg_solve_batch", "linalg_lu_decompose_batch", "linalg_logm_batch", "random_gamma_moments", "fp8_decode_e4m3")]
+] + [(identities, n) for n in ("special_erfinv_identity", "special_betaincinv_identity", "linalg_solve_batch", "linalg_lu_decompose_batch", "linalg_logm_batch", "random_gamma_moments", "fp8_decode_e4m3")] + [
+    (arrays, n) for n in ("centroid_accuracy", "embedding_lookup", "cdist_correlation", "squareform", "khatri_rao", "sparse_24_matmul")
+]
 
 
 @pytest.mark.parametrize(("module", "name"), CASES, ids=[n for _, n in CASES])
