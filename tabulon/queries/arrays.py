@@ -175,7 +175,7 @@ q("stats_cov", f"WITH {M} SELECT i0, i1, {r('c')} AS v FROM ({_COV})")(lambda s,
 q("stats_corrcoef", f"WITH {M} SELECT i0, i1, {r('c / (x * y)')} AS v FROM ({_COV})")(lambda s, d: stats.corrcoef(matrix(s, d)))
 q("stats_mode", "SELECT l_quantity AS v, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, v LIMIT 1")(lambda s, d: stats.mode(Tensor(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("i0"), F.col("l_quantity").alias("v")), (1,))))
 
-_VE = "x AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), y AS (SELECT * FROM x WHERE i % 20 = 0), z AS (SELECT i // 20 AS i, v FROM y)"
+_VE = "x AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), y AS (SELECT * FROM x WHERE i % 20 = 0)"
 
 
 def _sides(s, d):
@@ -185,8 +185,8 @@ def _sides(s, d):
 
 
 def _square(s, d):
-    queries = _sides(s, d)[1].select(F.expr("i div 20").alias("i"), "vec")
-    return distance.squareform(distance.pdist(queries), queries.count())
+    x = _sides(s, d)[0]
+    return distance.squareform(distance.pdist(x), x.count())
 
 
 _Z = "list_sum(list_transform(range(1, 65), lambda k: {}))"
@@ -198,8 +198,8 @@ for _name, _sql in [
     q(f"cdist_{_name}", f"WITH {_VE} SELECT x.i AS i0, y.i AS i1, {r(_sql)} AS v FROM x, y")((lambda n: lambda s, d: distance.cdist(*_sides(s, d), n))(_name))
 q("cdist_minkowski", f"WITH {_VE} SELECT x.i AS i0, y.i AS i1, {r('pow(' + _Z.format('pow(abs(x.v[k] - y.v[k]), 3)') + ', 1.0 / 3)')} AS v FROM x, y")(lambda s, d: distance.cdist(*_sides(s, d), "minkowski", 3))
 q("pdist", f"WITH {_VE} SELECT x.i AS i0, y.i AS i1, {r('list_distance(x.v, y.v)')} AS v FROM x JOIN x y ON x.i < y.i")(lambda s, d: distance.pdist(_sides(s, d)[0]))
-q("squareform", f"WITH {_VE} SELECT x.i AS i0, y.i AS i1, {r('list_distance(x.v, y.v)')} AS v FROM z x, z y")(_square)
-q("squareform_inverse", f"WITH {_VE} SELECT x.i AS i0, y.i AS i1, {r('list_distance(x.v, y.v)')} AS v FROM z x JOIN z y ON x.i < y.i")(lambda s, d: distance.squareform_inverse(_square(s, d)))
+q("squareform", f"WITH {_VE} SELECT x.i AS i0, y.i AS i1, {r('list_distance(x.v, y.v)')} AS v FROM x, x y")(_square)
+q("squareform_inverse", f"WITH {_VE} SELECT x.i AS i0, y.i AS i1, {r('list_distance(x.v, y.v)')} AS v FROM x JOIN x y ON x.i < y.i")(lambda s, d: distance.squareform_inverse(_square(s, d)))
 
 _G = "SELECT a.i1 AS i0, b.i1 AS i1, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.i0 = b.i0 GROUP BY 1, 2"
 q("matmul", f"WITH {M} SELECT i0, i1, {r('v')} AS v FROM ({_G})")(lambda s, d: (lambda t: C.matmul(t.transpose(), t))(matrix(s, d)))
