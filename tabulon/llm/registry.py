@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import embedding_dedup, filter_audit, license_scan, line_dedup, mixing, ngram_join, packing, pii, quality, secret_scan, sharding
+from tabulon.llm import embedding_dedup, filter_audit, license_scan, line_dedup, mixing, ngram_join, packing, pii, quality, secret_scan, sharding, url_filter, vector_codes
 
 _MODULES = {
     "op1_nn_descent": embedding_dedup,
@@ -15,6 +15,8 @@ _MODULES = {
     "op8_fuzzy_lines": line_dedup,
     "op9_cutting_stock": packing,
     "op10_ngram_jaccard_join": ngram_join,
+    "op11_url_classifier": url_filter,
+    "op12_lloyd_codes": vector_codes,
     "op13_filter_audit": filter_audit,
 }
 
