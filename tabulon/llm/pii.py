@@ -19,8 +19,8 @@ from tabulon.llm.common import BLANK, Scratch, checked_broadcast, documents
 
 _LOCAL = "A-Za-z0-9._%+-"
 # The forms below match what the plain forms match, at the same places: possessive runs that start at a run's first character (or where the
-# last match ended) keep a long run from being searched once per character, and no group repeats, so no text is too long for the stack.
-EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# last match ended) keep a long run from being searched once per character, and groups repeat possessively, which takes no stack: no text is too long.
+EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: What stands between card numbers: anything but single separators between digits.
 NOT_CARD = r"[^0-9]{2,}+|[^0-9\x20-]|\A[\x20-]|[\x20-]\z"
@@ -56,15 +56,13 @@ def _cards(text: Column) -> Column:
     others = F.regexp_extract_all(text, F.lit(NOT_CARD), 0)
     empty = F.array().cast(spans.SPAN)
 
-    def step(acc, row):
-        stop = acc["at"] + F.length(row["run"])
-        span = F.struct(acc["at"].cast("long").alias("start"), stop.cast("long").alias("stop"), row["run"].alias("hit"), row["run"].alias("part"))
-        found = F.when(_card_ok(row["run"], row["run"]), F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
-        return F.struct((stop + F.coalesce(F.length(row["other"]), F.lit(0))).cast("long").alias("at"), found.alias("found"))
+    def items(row, at):
+        span = F.struct(at.alias("start"), (at + F.length(row["run"])).alias("stop"), row["run"].alias("hit"), row["run"].alias("part"))
+        return F.when(_card_ok(row["run"], row["run"]), F.array(span)).otherwise(empty)
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found"))
     rows = F.arrays_zip(runs.alias("run"), others.alias("other"))
-    return F.when(text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), F.aggregate(rows, start, step, lambda a: a["found"])).otherwise(empty)
+    placed = spans.placed(rows, lambda row: F.length(row["run"]) + F.coalesce(F.length(row["other"]), F.lit(0)), items)
+    return F.when(text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), placed).otherwise(empty)
 
 
 def base_spans(text: Column) -> list[tuple[str, Column]]:
@@ -86,7 +84,7 @@ def _shaped(text: Column) -> Column:
     rows = F.arrays_zip(gaps.alias("gap"), words.alias("word"), after.alias("after"))
 
     def item(row, at):
-        before = F.reverse(F.split(F.btrim(F.right(row["gap"], F.lit(200)), F.lit(_BLANKS)), BLANK + "+"))
+        before = F.reverse(F.split(F.btrim(row["gap"], F.lit(_BLANKS)), BLANK + "+"))
         left, second = _bare(F.get(before, F.lit(0))), _bare(F.get(before, F.lit(1)))
         left2 = F.when(second != "", F.concat_ws(" ", second, left)).otherwise("")
         right = _bare(F.regexp_extract(row["after"], rf"\A{BLANK}+([^\x20\x09-\x0D]+)", 1))
@@ -94,17 +92,35 @@ def _shaped(text: Column) -> Column:
         core = F.regexp_extract(row["word"], r"\A[(\[\"'<]*(.*?)[)\]\"'>.,;:!?]*\z", 1)
         return F.struct((at + lead).cast("long").alias("start"), (at + lead + F.length(core)).cast("long").alias("stop"), core.alias("word"), left.alias("left"), left2.alias("left2"), right.alias("right"))
 
-    # a match's place: the lengths of the gaps and matches before it
-    def step(acc, row):
-        start = acc["at"] + F.length(row["gap"])
-        more = F.when(row["word"].isNotNull() & ok(row["word"]), F.concat(acc["found"], F.array(item(row, start)))).otherwise(acc["found"])
-        return F.struct((start + F.coalesce(F.length(row["word"]), F.lit(0))).cast("long").alias("at"), more.alias("found"))
+    def items(row, at):
+        return F.when(row["word"].isNotNull() & ok(row["word"]), F.array(item(row, at + F.length(row["gap"])))).otherwise(F.array().cast(kind))
 
     ok = lambda w: w.contains("@") | w.rlike(AT) | (F.length(spans.digits(w)) >= DIGITS)
-    found = F.aggregate(rows, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("found")), step, lambda a: a["found"])
+    found = spans.placed(rows, lambda row: F.length(row["gap"]) + F.coalesce(F.length(row["word"]), F.lit(0)), items)
     return F.when(text.rlike(rf"@|[0-9](?:[^0-9]{{0,6}}[0-9]){{{DIGITS - 1}}}|{AT}"), found).otherwise(F.array().cast(kind))
 
 
+def _seeded(shaped: Column, kinds: dict[str, Column]) -> Column:
+    """shaped with kind: that of the base spans which a shaped span overlaps, the first in order if several do, else null.
+
+    Shaped spans are compared in runs, each with the base spans between its ends.
+    """
+    names = ("start", "stop", "word", "left", "left2", "right")
+
+    def kind(i, near):
+        of = F.lit(None).cast("string")
+        for k, name in reversed(list(enumerate(kinds))):
+            of = F.when(F.exists(F.get(near, F.lit(k)), lambda s: (s["start"] < i["stop"]) & (s["stop"] > i["start"])), F.lit(name)).otherwise(of)
+        return of
+
+    def tagged(run):
+        first, last = F.get(run, F.lit(0))["start"], F.get(run, F.size(run) - 1)["stop"]
+        near = F.array(*(F.filter(c, lambda s: (s["start"] < last) & (s["stop"] > first)) for c in kinds.values()))
+        return F.get(F.transform(F.array(near), lambda n: F.transform(run, lambda i: F.struct(*(i[c].alias(c) for c in names), kind(i, n).alias("kind")))), F.lit(0))
+
+    return F.flatten(F.transform(spans.runs(shaped), tagged))
+
+
 def _patterns(rows: DataFrame, *columns: str) -> DataFrame:
     """columns and each pattern (side, near) of the rows' left, left2 and right."""
     sides = F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("near")) for side in ("left", "left2", "right")))
@@ -166,11 +182,9 @@ def find_personal(docs: DataFrame) -> DataFrame:
     marked = rows.select("doc_id", "key", *(c.alias(k) for k, c in base), _shaped(F.col("text")).alias("shaped"))
     slim = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
     marked = scratch.save(marked.select("doc_id", "key", *(slim(k).alias(k) for k in KINDS), "shaped"), "marked")
-    of = F.lit(None).cast("string")
-    for k in reversed(KINDS):
-        of = F.when(F.exists(k, lambda s: (s["start"] < F.col("i.stop")) & (s["stop"] > F.col("i.start"))), F.lit(k)).otherwise(of)
     once = marked.where(F.size("shaped") > 0).dropDuplicates(["doc_id", "key"])
-    found = once.select("doc_id", "key", *KINDS, F.explode("shaped").alias("i")).select("doc_id", "key", "i.*", of.alias("kind")).where("start < stop")
+    tagged = once.select("doc_id", "key", _seeded(F.col("shaped"), {k: F.col(k) for k in KINDS}).alias("shaped"))
+    found = tagged.select("doc_id", "key", F.explode("shaped").alias("i")).select("doc_id", "key", "i.*").where("start < stop")
     found = scratch.save(found, "found")
     unseen = scratch.save(bootstrap(scratch, found, rows), "unseen")
     new = found.where("kind IS NULL").drop("kind").join(checked_broadcast(unseen), "word").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), F.concat(F.lit("ctx_"), "kind").alias("kind"), "stop")).alias("more"))

@@ -17,7 +17,7 @@ ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
 KINDS = ("assign", "access", "hex")
 # Public prefixes of credential formats.
-FORMATS = r"\b(?:gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}|xox[abprs]-[A-Za-z0-9-]{10,250}|glpat-[A-Za-z0-9_-]{20,64}|sk_live_[A-Za-z0-9]{16,128}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,2000}\.eyJ[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,1000})"
+FORMATS = r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|glpat-[A-Za-z0-9_-]{20,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)"
 #: A value that so many owners hold, or so many documents of however few owners, is an example.
 OWNERS, DOCUMENTS = 3, 10
 #: Distinct characters that a live-looking value has, and the words that only examples hold.
