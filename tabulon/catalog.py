@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabulon.queries import algorithms, arrays, elementwise, gradients, identities
+from tabulon.queries import algorithms, arrays, elementwise, gradients, identities, large
 
-MODULES = (elementwise, arrays, algorithms, gradients, identities)
+MODULES = (elementwise, arrays, algorithms, gradients, identities, large)
 
 
 def queries() -> dict:
