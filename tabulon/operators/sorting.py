@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabulon.plans.scratch import Scratch
 from tabulon.plans.tensor import ShapeError, Tensor
 
 
@@ -16,11 +17,17 @@ def _ranked(t: Tensor, d: int, descending: bool) -> tuple[DataFrame, int]:
     order = [F.desc("v") if descending else F.asc("v"), F.asc(f"i{d}")]
     if kept:
         return t.df.withColumn("r", F.row_number().over(W.partitionBy(*kept).orderBy(*order)) - 1), d
-    # one long run: sorted by range partitions; a row's place is its place in its partition and the sizes of those before
-    rows = t.df.orderBy(*order).withColumn("m", F.monotonically_increasing_id())
-    rows = rows.withColumn("p", F.shiftright("m", 33)).persist()
-    sizes = rows.groupBy("p").agg(F.count("*").alias("n")).withColumn("o", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(F.broadcast(sizes.select("p", "o")), "p").withColumn("r", F.col("o") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).drop("m", "p", "o"), d
+    return ranked(t.df, order, "r"), d
+
+
+def ranked(df: DataFrame, order: list, name: str = "place") -> DataFrame:
+    """df with the place of each row in the order, from 0. The rows are written in sorted partitions; a row's place is its place in its partition and the
+    sizes of the partitions before. order must leave no ties, or rows that tie get their places as they were written."""
+    scratch = Scratch(df.sparkSession)
+    rows = scratch.save(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "sorted").withColumn("_p", F.shiftright("_m", 33))
+    # a row a partition
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(F.broadcast(sizes.select("_p", "_o")), "_p").withColumn(name, F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_o")
 
 
 def sort_with_indices(t: Tensor, d: int = -1, descending: bool = False) -> DataFrame:
@@ -61,8 +68,7 @@ def unique(df: DataFrame, column: str = "v") -> DataFrame:
 
 def unique_with_counts(t: Tensor) -> tuple[DataFrame, DataFrame]:
     """(place, v, n) of the distinct values, and (index columns, inverse) of the elements."""
-    counts = t.df.groupBy("v").agg(F.count("*").alias("n"))
-    values = counts.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("v")) - 1)
+    values = ranked(t.df.groupBy("v").agg(F.count("*").alias("n")), ["v"])
     return values.select("place", "v", "n"), t.df.join(values.select("v", "place"), "v").select(*t.index, F.col("place").alias("inverse"))
 
 

@@ -71,7 +71,7 @@ def system(s, d, symmetric=True) -> tuple[Sparse, Tensor]:
 
 _ONES = "SELECT g AS i0, CAST(g + 1 AS DOUBLE) AS v FROM range(25) t(g)"
 for _name, _sym in {"cg": True, "gmres": False, "bicgstab": False, "minres": True, "cgs": False, "lgmres": False, "qmr": False, "jacobi": True, "sor": True, "adaptive_gmres": False}.items():
-    q(f"solve_{_name}", _ONES, 3)((lambda n, y: lambda s, d: getattr(iterative, n)(*system(s, d, y), rtol=1e-7).x)(_name, _sym))
+    q(f"solve_{_name}", _ONES, 3)((lambda n, y: lambda s, d: getattr(iterative, {"sor": "block_sor"}.get(n, n))(*system(s, d, y), rtol=1e-7).x)(_name, _sym))
 q("solve_multigrid", _ONES, 3)(lambda s, d: iterative.two_grid(*system(s, d)).x)
 q("sparse_eig_symmetric", digits=3)(lambda s, d: (lambda w: s.createDataFrame([(k, float(x)) for k, x in enumerate(w)], "k int, v double"))(iterative.sparse_eig_symmetric(system(s, d)[0], 3)[0]))
 q("sparse_eig", digits=3)(lambda s, d: (lambda w: s.createDataFrame([(k, float(x.real), float(x.imag)) for k, x in enumerate(w)], "k int, re double, im double"))(iterative.sparse_eig(system(s, d, False)[0], 3)))

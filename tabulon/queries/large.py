@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulon.operators import blocked
+from tabulon.operators import blocked, contraction, iterative, sparse_levels, tall
 from tabulon.operators.blocked import Blocks
 from tabulon.operators.sparse import Sparse
 from tabulon.plans.tensor import Tensor
-from tabulon.queries.arrays import M, matrix, r
+from tabulon.queries.arrays import M, matrix, parts, r
 from tabulon.queries.register import registrar
 
 QUERIES, ORACLES = {}, {}
@@ -56,3 +57,94 @@ q("blocked_slogdet_triangle", f"WITH {G} SELECT 1.0 AS sign, {r('sum(ln(v))', 4)
 q("blocked_lu_banded", _BAND, lambda s, d: _stored(_product(blocked.lu(Blocks.of(banded(s, d), 512)))), 4)
 q("blocked_cholesky_banded", _SYMMETRIC, lambda s, d: (lambda low: _stored(blocked.multiply(low, low.transpose())))(blocked.cholesky(Blocks.of(banded(s, d, True), 512))), 4)
 q("blocked_solve_banded", "SELECT g AS i0, CAST(0 AS BIGINT) AS i1, CAST(g % 7 + 1 AS DOUBLE) AS v FROM range((SELECT max(o_custkey) + 1 FROM orders)) t(g)", lambda s, d: (lambda a: blocked.solve(Blocks.of(a, 512), Blocks.of(Tensor(a.spmv(Tensor.generate(s, (a.shape[0],), lambda i: (i % 7 + 1).cast("double"))).df.select("i0", F.lit(0).cast("long").alias("i1"), "v"), (a.shape[0], 1)), 512)).cells())(banded(s, d)), 4)
+
+# orders by orders: an order shares cells with the next one and the third next one of its customer and status; symmetric, diagonally dominant
+C = """w AS (SELECT o_orderkey AS i, lead(o_orderkey, 1) OVER c AS j1, lead(o_orderkey, 3) OVER c AS j3, o_totalprice / 1013 AS v FROM orders WINDOW c AS (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey)),
+e AS (SELECT i, j1 AS j, v FROM w WHERE j1 IS NOT NULL UNION ALL SELECT i, j3, v / 3 FROM w WHERE j3 IS NOT NULL),
+c AS (SELECT "row", col, sum(v) AS v FROM (SELECT i AS "row", j AS col, -v AS v FROM e UNION ALL SELECT j, i, -v FROM e UNION ALL SELECT i, i, v * 3 FROM e UNION ALL SELECT j, j, v * 3 FROM e UNION ALL SELECT i, i, 1 FROM w) GROUP BY 1, 2)"""
+
+
+def chains(s, d) -> Sparse:
+    o = s.read.parquet(f"{d}/orders.parquet")
+    after = W.partitionBy("o_custkey", "o_orderstatus").orderBy("o_orderkey")
+    w = o.select(F.col("o_orderkey").alias("i"), F.lead("o_orderkey", 1).over(after).alias("j1"), F.lead("o_orderkey", 3).over(after).alias("j3"), (F.col("o_totalprice") / 1013).alias("v"))
+    e = w.select("i", F.col("j1").alias("j"), "v").unionByName(w.select("i", F.col("j3").alias("j"), (F.col("v") / 3).alias("v"))).where("j IS NOT NULL")
+    more = F.col("v") * 3
+    every = e.select("i", "j", -F.col("v")).toDF("row", "col", "v")
+    for x in (e.select("j", "i", -F.col("v")), e.select("i", "i", more), e.select("j", "j", more), w.select("i", "i", F.lit(1.0))):
+        every = every.unionByName(x.toDF("row", "col", "v"))
+    n = o.agg(F.max("o_orderkey")).first()[0] + 1
+    return Sparse(sparse_levels.Scratch(s).save(Sparse.summed(every, (n, n)).df, "chains"), (n, n))
+
+
+def on_pattern(low: Sparse, up: Sparse, pattern) -> Sparse:
+    """The product on the cells of a pattern; what isn't stored there is zero."""
+    return Sparse(pattern.select("row", "col").join(low.matmul(up).df, ["row", "col"], "left").fillna(0.0, ["v"]), low.shape)
+
+
+
+
+_CHAINS = f'WITH {C} SELECT "row", col, {r("v", 4)} AS v FROM c'
+_FILL = f'''WITH {C}, f AS (SELECT "row", col, 0 AS fill FROM c UNION ALL SELECT a."row", b.col, 1 FROM c a JOIN c b ON a.col = b."row" WHERE a.col < a."row" AND b.col > b."row")'''
+for _level in (0, 1):
+    q(f"ilu{_level}_on_pattern", _CHAINS if not _level else f'{_FILL} SELECT f."row", f.col, {r("coalesce(max(c.v), 0)", 4)} AS v FROM f LEFT JOIN c ON f."row" = c."row" AND f.col = c.col GROUP BY 1, 2', (lambda k: lambda s, d: (lambda a: (lambda f: on_pattern(f.lower(), f.upper(), f.cells))(sparse_levels.ilu(a, k)))(chains(s, d)))(_level), 4)
+q("ic0_on_pattern", _CHAINS, lambda s, d: (lambda a: (lambda low: on_pattern(low, low.transpose(), a.df))(sparse_levels.ic(a)))(chains(s, d)), 4)
+q("fill_pattern", f'{_FILL} SELECT "row", col, CAST(min(fill) AS INTEGER) AS fill FROM f GROUP BY 1, 2', lambda s, d: sparse_levels.fill_pattern(chains(s, d), 1))
+q("row_levels", "SELECT o_orderkey AS \"row\", CAST(row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) - 1 AS INTEGER) AS level FROM orders", lambda s, d: sparse_levels.row_levels(chains(s, d)))
+q("sor_multicolour", "SELECT o_orderkey AS i0, CAST(o_orderkey % 7 + 1 AS DOUBLE) AS v FROM orders", lambda s, d: (lambda a: iterative.sor(a, a.spmv(Tensor.generate(s, (a.shape[0],), lambda i: (i % 7 + 1).cast("double"))), rtol=1e-6).x)(chains(s, d)), 3)
+
+
+def _colouring(s, d):
+    a = chains(s, d)
+    c = sparse_levels.colours(a)
+    met = a.df.where("row <> col").join(c, "row").join(c.select(F.col("row").alias("col"), F.col("colour").alias("other")), "col")
+    return c.agg(F.count("*").alias("coloured"), (F.max("colour") <= 4).alias("few")).crossJoin(met.agg(F.count(F.when(F.col("colour") == F.col("other"), 1)).alias("conflicts")))
+
+
+q("sparse_colours", "SELECT count(*) AS coloured, true AS few, CAST(0 AS BIGINT) AS conflicts FROM orders", _colouring)
+
+
+def _matching(s, d):
+    a = parts(s, d)
+    m = sparse_levels.maximum_matching(a)
+    return m.join(a.df, ["row", "col"]).agg(F.count("*").alias("size"), F.countDistinct("row").alias("n_rows"), F.countDistinct("col").alias("n_cols"))
+
+
+# every supplier has more parts than there are suppliers in reach, so the largest matching holds them all
+q("maximum_matching", "SELECT count(DISTINCT l_suppkey) AS size, count(DISTINCT l_suppkey) AS n_rows, count(DISTINCT l_suppkey) AS n_cols FROM lineitem", _matching)
+
+
+def _rcm(s, d):
+    a = chains(s, d)
+    order = sparse_levels.reverse_cuthill_mckee(a)
+    after = sparse_levels.permuted(a, order).df.agg(F.max(F.abs(F.col("row") - F.col("col"))).alias("after"))
+    return order.agg(F.count("*").alias("n"), F.countDistinct("place").alias("places"), F.max("place").alias("last")).crossJoin(after).select("n", "places", "last", (F.col("after") <= 12).alias("narrow"))
+
+
+q("reverse_cuthill_mckee", "SELECT count(*) AS n, count(*) AS places, max(o_orderkey) AS \"last\", true AS narrow FROM orders", _rcm)
+
+# all embeddings as one n x 64 matrix
+_ALL = f"WITH {M} SELECT i0, i1, {r('v', 5)} AS v FROM m"
+_UNIT64 = "SELECT a AS i0, b AS i1, CASE WHEN a = b THEN 1.0 ELSE 0.0 END AS v FROM range(64) t(a), range(64) u(b)"
+
+
+def vectors(s, d): return s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("i"), F.col("embedding").alias("vec"))
+
+
+def times(rows, right) -> Tensor:
+    """Rows (i, vec) times a small matrix."""
+    s, n = rows.sparkSession, rows.count()
+    return contraction.semiring_matmul(Tensor.rows(rows, "i", "vec", n, len(right)), Tensor.from_slice(s, right.ravel().tolist(), right.shape))
+
+
+def squared(rows) -> Tensor:
+    t = Tensor.rows(rows, "i", "vec", rows.count(), 64)
+    return contraction.semiring_matmul(t.transpose(), t)
+
+
+q("tall_qr", _ALL, lambda s, d: times(*tall.qr(vectors(s, d), 64)))
+q("tall_qr_orthogonal", _UNIT64, lambda s, d: squared(tall.qr(vectors(s, d), 64)[0]))
+q("tall_svd", _ALL, lambda s, d: (lambda u, w, vt: times(u, w[:, None] * vt))(*tall.svd(vectors(s, d), 64)))
+q("tall_svd_orthogonal", _UNIT64, lambda s, d: squared(tall.svd(vectors(s, d), 64)[0]))
+q("tall_polar", _ALL, lambda s, d: times(*tall.polar(vectors(s, d), 64)))
+q("tall_pinverse", _UNIT64, lambda s, d: (lambda a, p: contraction.semiring_matmul(Tensor.rows(p, "i", "vec", a.count(), 64).transpose(), Tensor.rows(a, "i", "vec", a.count(), 64)))(vectors(s, d), tall.pinverse(vectors(s, d), 64)))
