@@ -379,10 +379,53 @@ def sparse_eig(a: Sparse, k: int, steps: int = 40, seed: int = 0) -> np.ndarray:
     return w[np.argsort(-np.abs(w))][:k]
 
 
-def svds(a: Sparse, k: int, steps: int = 40, seed: int = 0) -> tuple[np.ndarray, DataFrame]:
-    """The k largest singular values and right vectors, from the Gram matrix."""
-    w, v = sparse_eig_symmetric(a.transpose().matmul(a), k, steps, seed)
-    return np.sqrt(np.maximum(w, 0)), v
+def svds(a: Sparse, k: int, steps: int = 40, seed: int = 0) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """The k largest singular values, right and left vectors (i, k, v), by Golub-Kahan-Lanczos bidiagonalization.
+
+    Only products with A and its transpose are taken, so the condition number isn't squared; both sides are orthogonalized twice against all vectors so far.
+    """
+    spark, steps = a.df.sparkSession, min(max(steps, 2 * k + 5), *a.shape)
+    right, left = (Space(Sparse(a.df, (n, n)), Tensor.generate(spark, (n,), lambda i: F.shiftrightunsigned(F.xxhash64(F.lit(seed), i), 11) * 2.0**-53 - 0.5)) for n in (a.shape[1], a.shape[0]))
+    left.put(b="0D")
+    right.put(v0=f"b / {float(np.sqrt(right.sums('b * b')[0]))!r}D")
+    right.keep()
+    left.keep()
+    alpha, beta = [], []
+
+    def image(of: Space, to: Space, name: str, transposed: bool) -> None:
+        """w of `to`: A (or its transpose) times a vector of `of`."""
+        row, col = ("col", "row") if transposed else ("row", "col")
+        made = a.df.join(of.state.select(F.col("i").alias(col), F.col(name).alias("x")), col).groupBy(F.col(row).alias("i")).agg(F.sum(F.col("v") * F.col("x")).alias("w"))
+        to.state = to.state.drop("w").join(made, "i", "left").fillna(0.0, ["w"])
+        to.keep()
+
+    def settled(s: Space, names: list[str]) -> float:
+        for _ in range(2 if names else 0):
+            dots = s.sums(*(f"{q} * w" for q in names))
+            s.put(w="w" + "".join(f" - {d!r}D * {q}" for d, q in zip(dots, names, strict=True)))
+        return float(np.sqrt(s.sums("w * w")[0]))
+
+    for j in range(steps):
+        image(right, left, f"v{j}", False)
+        alpha.append(settled(left, [f"u{i}" for i in range(j)]))
+        small = 1e-13 * max(alpha)
+        left.put(**{f"u{j}": f"w / {alpha[-1]!r}D" if alpha[-1] > small else "0D"})
+        if alpha[-1] <= small:
+            break
+        image(left, right, f"u{j}", True)
+        beta.append(settled(right, [f"v{i}" for i in range(j + 1)]))
+        if beta[-1] <= small or j + 1 == steps:
+            break
+        right.put(**{f"v{j + 1}": f"w / {beta[-1]!r}D"})
+    m = len(alpha)
+    u, s, vt = np.linalg.svd(np.diag(alpha) + np.diag(beta[: m - 1], 1))
+    k = min(k, m)
+
+    def combined(space: Space, name: str, y: np.ndarray) -> DataFrame:
+        columns = [F.expr(" + ".join(f"{float(y[j, c])!r}D * {name}{j}" for j in range(m))) for c in range(k)]
+        return space.state.select("i", F.posexplode(F.array(*columns)).alias("k", "v"))
+
+    return s[:k], combined(right, "v", vt.T), combined(left, "u", u)
 
 
 def two_grid(a: Sparse, b: Tensor, strength: float = 0.25, sweeps: int = 2, cycles: int = 50, rtol: float = 1e-8, coarse: int = 200) -> Result:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulon.operators import blocked, contraction, iterative, sparse_levels, tall
+from tabulon.operators import blocked, contraction, iterative, long_fft, multigrid, sparse_levels, tall
 from tabulon.operators.blocked import Blocks
 from tabulon.operators.sparse import Sparse
 from tabulon.plans.tensor import Tensor
-from tabulon.queries.arrays import M, matrix, parts, r
+from tabulon.queries.arrays import M, flows, matrix, parts, r
 from tabulon.queries.register import registrar
 
 QUERIES, ORACLES = {}, {}
@@ -148,3 +150,52 @@ q("tall_svd", _ALL, lambda s, d: (lambda u, w, vt: times(u, w[:, None] * vt))(*t
 q("tall_svd_orthogonal", _UNIT64, lambda s, d: squared(tall.svd(vectors(s, d), 64)[0]))
 q("tall_polar", _ALL, lambda s, d: times(*tall.polar(vectors(s, d), 64)))
 q("tall_pinverse", _UNIT64, lambda s, d: (lambda a, p: contraction.semiring_matmul(Tensor.rows(p, "i", "vec", a.count(), 64).transpose(), Tensor.rows(a, "i", "vec", a.count(), 64)))(vectors(s, d), tall.pinverse(vectors(s, d), 64)))
+
+# customers on a grid of the root of their number, tied to their neighbours by account balances
+K = """k AS (SELECT c_custkey AS i, 1 + abs(c_acctbal) / 10007 AS v FROM customer), top AS (SELECT max(i) AS n, CAST(ceil(sqrt(max(i) + 1)) AS BIGINT) AS w FROM k)"""
+
+
+def customer_grid(s, d) -> Sparse:
+    c = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("i"), (1 + F.abs("c_acctbal") / 10007).alias("v"))
+    n = c.agg(F.max("i")).first()[0] + 1
+    w = math.isqrt(n - 1) + 1
+    e = c.where((F.col("i") % w < w - 1) & (F.col("i") + 1 < n)).select("i", (F.col("i") + 1).alias("j"), "v").unionByName(c.where(F.col("i") + w < n).select("i", (F.col("i") + w).alias("j"), "v"))
+    every = e.select("i", "j", -F.col("v")).toDF("row", "col", "v")
+    for x in (e.select("j", "i", -F.col("v")), e.select("i", "i", "v"), e.select("j", "j", "v"), c.select("i", "i", F.lit(0.1))):
+        every = every.unionByName(x.toDF("row", "col", "v"))
+    return Sparse(sparse_levels.Scratch(s).save(Sparse.summed(every, (n, n)).df, "grid"), (n, n))
+
+
+def _seven(s, a: Sparse) -> Tensor: return a.spmv(Tensor.generate(s, (a.shape[0],), lambda i: (i % 7 + 1).cast("double")))
+
+
+q("amg_preconditioned_cg", "SELECT c_custkey AS i0, CAST(c_custkey % 7 + 1 AS DOUBLE) AS v FROM customer", lambda s, d: (lambda a: multigrid.preconditioned_cg(a, _seven(s, a), rtol=1e-6).x)(customer_grid(s, d)), 2)
+
+# singular and eigenvectors by their residuals
+_F25 = "FROM range(3) t(g)"
+
+
+def _residual(a: Sparse, values, right, left):
+    """k, and whether A v stays within 1e-6 of value times u."""
+    s = a.df.sparkSession
+    w = s.createDataFrame([(k, float(x)) for k, x in enumerate(values)], "k int, w double")
+    made = a.df.join(right.select(F.col("i").alias("col"), "k", F.col("v").alias("x")), "col").groupBy(F.col("row").alias("i"), "k").agg(F.sum(F.col("v") * F.col("x")).alias("av"))
+    met = left.join(made, ["i", "k"], "left").join(w, "k")
+    return met.groupBy("k").agg((F.sqrt(F.sum(F.pow(F.coalesce("av", F.lit(0.0)) - F.col("w") * F.col("v"), 2))) < 1e-6 * F.max(F.abs("w"))).alias("close"), (F.abs(F.sum(F.col("v") * F.col("v")) - 1) < 1e-8).alias("unit"))
+
+
+q("svds_residual", f"SELECT CAST(g AS INTEGER) AS k, true AS close, true AS unit {_F25}", lambda s, d: (lambda a: _residual(a, *iterative.svds(a, 3)))(flows(s, d)))
+q("sparse_eig_symmetric_residual", f"SELECT CAST(g AS INTEGER) AS k, true AS close, true AS unit {_F25}", lambda s, d: (lambda a: (lambda w, v: _residual(a, w, v, v))(*iterative.sparse_eig_symmetric(a, 3)))((lambda f: f.add(f.transpose()))(flows(s, d))))
+
+
+# the values of all events as one vector, padded to a power of two
+def event_vector(s, d):
+    e = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("i"), F.col("value").alias("v"))
+    return e, 1 << int(e.agg(F.max("i")).first()[0]).bit_length()
+
+
+_LENGTH = "n AS (SELECT CAST(pow(2, floor(log2(max(event_id))) + 1) AS BIGINT) AS n FROM events)"
+q("long_fft_inverse", f"WITH {_LENGTH} SELECT g AS i, {r('coalesce(value, 0)', 5)} AS v FROM range((SELECT n FROM n)) t(g) LEFT JOIN events ON event_id = g", lambda s, d: (lambda e, n: long_fft.ifft(long_fft.fft(e.select("i", F.col("v").alias("re"), F.lit(0.0).alias("im")), n), n).select("i", F.col("re").alias("v")))(*event_vector(s, d)))
+q("long_fft_frequencies", f"WITH {_LENGTH} SELECT k, {r('sum(value * cos(2 * pi() * ((event_id * k) % n) / n))', 4)} AS re, {r('-sum(value * sin(2 * pi() * ((event_id * k) % n) / n))', 4)} AS im FROM events, n, (SELECT g * 97 AS k FROM range((SELECT n // 97 + 1 FROM n)) t(g)) WHERE k < n GROUP BY k, n", lambda s, d: (lambda e, n: long_fft.fft(e.select("i", F.col("v").alias("re"), F.lit(0.0).alias("im")), n).where("k % 97 = 0"))(*event_vector(s, d)), 4)
+q("long_fft_parseval", f"SELECT {r('sum(value * value)', 3)} AS v FROM events", lambda s, d: (lambda e, n: long_fft.fft(e.select("i", F.col("v").alias("re"), F.lit(0.0).alias("im")), n).agg((F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / n).alias("v")))(*event_vector(s, d)), 3)
+q("long_rfft_inverse", f"WITH {_LENGTH} SELECT g AS i, {r('coalesce(value, 0)', 5)} AS v FROM range((SELECT n FROM n)) t(g) LEFT JOIN events ON event_id = g", lambda s, d: (lambda e, n: long_fft.irfft(long_fft.rfft(e, n), n))(*event_vector(s, d)))
