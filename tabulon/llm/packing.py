@@ -4,7 +4,12 @@ Documents are tokenized where they lie; whole sequences are cut off, and what is
 of item lengths (in steps of STEP tokens, so it is as small for any corpus) picks patterns of lengths that fill a sequence; a knapsack by dynamic
 programming prices new patterns. Patterns are rounded down, the few items left over are packed best-fit, and the pattern table, a few hundred
 rows, is joined to documents ranked within their length. STEP documents of one short length are one item, a multiple of STEP without
-any rounding; longer ones are rounded up by less than STEP, 6 percent of their length at worst. Tokens never move: only (document, place) rows do.
+any rounding; longer ones are rounded up by less than STEP, 6 percent of their length at worst.
+
+Where lengths don't add up to a sequence (all documents a little over half of one) no pattern is full. Documents of patterns that would leave more than
+1 - TIGHT empty are cut instead: laid end to end, in the order of class and rank, and cut at the last multiple of CUT tokens of a document before each
+LENGTH - CUT tokens, so no cut depends on the one before and a sequence lacks CUT tokens on average. Tokens never move: only (document, place) rows do,
+with the checksums up to each place where a document can be cut, from which those of its pieces follow.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ REMEMBERED, TOGETHER = 1_000_000, 1 << 20
 COLUMNS, TAKEN, EARLY = 6000, 12, 1000
 #: The program ends when its sequences are at most so much over the optimum (the best price bounds it).
 GAP = 0.005
+#: Patterns filled less than this are not used; their documents are cut, at multiples of CUT tokens.
+TIGHT, CUT = 0.98, 32
 _SEPARATORS = {"\x1c", "\x1d", "\x1e", "\x1f"}
 
 
@@ -110,20 +117,57 @@ _ENCODERS: dict[str, WordIds] = {}
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, doc_tokens and crcs (of each piece of LENGTH ids and of the rest) of each row of docs; a null text is empty, and its one id is END_ID."""
+    """doc_id, doc_tokens, crcs (of each piece of LENGTH ids and of the rest) and marks (of the rest up to each multiple of CUT, unsigned 32-bit little-endian).
+
+    One row for each of docs; a null text is empty, and its one id is END_ID.
+    """
 
     def run(batches):
         if path not in _ENCODERS:
             _ENCODERS[path] = WordIds(path)
         encoder = _ENCODERS[path]
         for batch in batches:
-            counts, crcs = [], []
+            counts, crcs, marks = [], [], []
             for data in encoder.encode([t or "" for t in batch.column(1).to_pylist()]):
                 counts.append(len(data) // 4)
                 crcs.append([zlib.crc32(data[a : a + 4 * LENGTH]) for a in range(0, len(data), 4 * LENGTH)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
+                marks.append(_marks(data, len(data) - len(data) % (4 * LENGTH)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["doc_id", "doc_tokens", "crcs", "marks"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, marks binary")
+
+
+def _marks(data: bytes, start: int) -> bytes:
+    """Checksums of data from `start` up to each multiple of CUT ids below its end."""
+    crc, out, step = 0, [], 4 * CUT
+    for at in range(start, len(data) - step, step):
+        crc = zlib.crc32(data[at : at + step], crc)
+        out.append(crc)
+    return struct.pack(f"<{len(out)}I", *out)
+
+
+def _behind(whole: int, before: int, n: int) -> int:
+    """The checksum of the last n bytes, from that of everything and that of what is before them."""
+    zeros = bytes(n)
+    return whole ^ zlib.crc32(zeros, before) ^ zlib.crc32(zeros)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>")
+def _pieces(batches):
+    """Cuts rows (doc_id, doc_tokens, crc of the rest, marks, place of its first id among all that are laid end to end) where sequences end."""
+    room = LENGTH - CUT
+    for batch in batches:
+        out = []
+        for doc, tokens, crc, marks, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n, at = tokens % LENGTH, 0
+            known = (0, *struct.unpack(f"<{len(marks) // 4}I", marks))
+            for k in range(place // room, (place + n - 1) // room + 1):
+                to = min(n, ((k + 1) * room - place) // CUT * CUT) if (k + 1) * room < place + n else n
+                if to > at:
+                    upto = crc if to == n else known[to // CUT]
+                    out.append((doc, tokens - n + at, to - at, _behind(upto, known[at // CUT], 4 * (to - at)) if at else upto, tokens, k, place))
+                    at = to
+        columns = list(zip(*out, strict=True)) or [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "place"])
 
 
 def _price(sizes: np.ndarray, values: np.ndarray, capacity: int, most: int) -> tuple[float, np.ndarray]:
@@ -227,25 +271,30 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     # a class for each short length, and one for each step of the others; 0: nothing is left
     size_class = F.when(rest < LENGTH // STEP, rest).otherwise(LENGTH + F.ceil(rest / STEP)).cast("int")
     rows = scratch.save(tokenized(docs, path or tokenizer_path()).withColumn("class", size_class), "tokens")
-    b = bucket_count(rows.count())
+    rows_n = rows.count()
+    b = bucket_count(rows_n)
     order = ["doc_id", "doc_tokens", "crcs"]
     ranked = scratch.save(in_buckets(rows, ["class"], hash_bucket(b, "doc_id", "crcs"), order, "rank"), "ranked")
-    stats = ranked.groupBy("class").agg(F.count("*").alias("n"), F.max("doc_tokens").alias("most")).orderBy("class").collect()  # LENGTH / STEP rows of either sort at most
+    stats = ranked.groupBy("class").agg(F.count("*").alias("n"), F.max("doc_tokens").alias("most"), F.sum(rest).alias("tokens")).orderBy("class").collect()  # LENGTH / STEP rows of either sort at most
     demand: dict[int, int] = {}
+    tokens: dict[int, float] = {}
     classes, first = [], 0
     for r in stats:
         bundles, single = r["n"] // STEP if r["class"] < LENGTH else 0, -(-r["class"] // STEP) if r["class"] < LENGTH else r["class"] - LENGTH
         begin = []
-        for size, n in ((r["class"], bundles), (single, r["n"] - STEP * bundles)):
+        for size, n, documents in ((r["class"], bundles, STEP), (single, r["n"] - STEP * bundles, 1)):
             begin.append(demand.get(size, 0))
             if r["class"] and n:
                 demand[size] = begin[-1] + n
+                tokens[size] = tokens.get(size, 0) + n * documents * r["tokens"] / r["n"]
         if single == r["class"] and bundles:  # both sorts of items are of one size
             begin[1] = begin[0] + bundles
         classes.append((r["class"], r["class"], single, bundles, *begin, first))
         first += r["n"]
     table, sequence, begun = [], 0, dict.fromkeys(demand, 0)
     for pattern, times in patterns(demand, LENGTH // STEP):
+        if sum(k * tokens[size] / demand[size] for size, k in pattern.items()) < TIGHT * LENGTH:
+            continue
         for size, k in pattern.items():
             table.append((size, begun[size], begun[size] + k * times, k, sequence))
             begun[size] += k * times
@@ -257,10 +306,28 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     bundled = F.col("rank") < F.col("bundles") * STEP
     items = placed.where("class > 0").withColumn("size", F.when(bundled, F.col("many")).otherwise(F.col("single")))
     items = items.withColumn("item", F.when(bundled, F.expr(f"of_many + rank div {STEP}")).otherwise(F.expr(f"of_single + rank - bundles * {STEP}")))
-    items = items.join(F.broadcast(plan), "size").where("item >= a AND item < z")
-    items = items.select("doc_id", "doc_tokens", F.expr("base + (item - a) div k").alias("sequence_id"), "size", F.expr("(item - a) % k").alias("slot"), "rank", F.expr(f"doc_tokens div {LENGTH} * {LENGTH}").alias("start"), F.expr(f"doc_tokens % {LENGTH}").alias("length"), F.element_at("crcs", -1).alias("ids_crc32"))
-    before = W.partitionBy("sequence_id").orderBy(F.desc("size"), "slot", "rank").rowsBetween(W.unboundedPreceding, -1)
-    items = items.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+    place = ["doc_id", F.expr(f"doc_tokens div {LENGTH} * {LENGTH}").alias("start"), rest.alias("length"), F.element_at("crcs", -1).alias("ids_crc32"), "doc_tokens"]
+    fitted = items.join(F.broadcast(plan), "size").where("item >= a AND item < z")
+    fitted = fitted.select(*place, F.expr("base + (item - a) div k").alias("sequence_id"), (-F.col("size")).cast("long").alias("place"), F.expr("(item - a) % k").alias("slot"), "rank")
+    # the rest is laid end to end: places within (class, bucket) by a window, those of buckets and classes from their sums
+    ends = spark.createDataFrame([(size, n) for size, n in begun.items()], "size int, kept long")
+    loose = items.join(F.broadcast(ends), "size").where("item >= kept").withColumn("bucket", F.expr(f"rank div {max(1, rows_n // 65_536, 1000)}"))
+    loose = loose.select("class", "bucket", "rank", "doc_id", "doc_tokens", F.element_at("crcs", -1).alias("crc"), "marks", rest.alias("n"))
+    sums = scratch.save(loose.groupBy("class", "bucket").agg(F.sum("n").alias("n")), "sums")
+    total, begins = 0, []
+    for r in sums.groupBy("class").agg(F.sum("n").alias("n")).orderBy("class").collect():
+        begins.append((r["class"], total))
+        total += r["n"]
+    until = sums.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("class").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    until = until.join(F.broadcast(spark.createDataFrame(begins, "class int, begin long")), "class")
+    within = W.partitionBy("class", "bucket").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+    loose = loose.withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(until, ["class", "bucket"])
+    cut = loose.select("doc_id", "doc_tokens", "crc", "marks", F.expr("begin + before + within").alias("place"))
+    cut = cut.mapInArrow(_pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, place long")
+    cut = cut.withColumn("sequence_id", F.col("sequence_id") + sequence).select("*", F.lit(0).cast("long").alias("slot"), F.col("start").alias("rank"))
+    sequence += total // (LENGTH - CUT) + 1
+    before = W.partitionBy("sequence_id").orderBy("place", "slot", "rank").rowsBetween(W.unboundedPreceding, -1)
+    items = fitted.unionByName(cut).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
     full = placed.where(f"doc_tokens >= {LENGTH}").select("doc_id", "doc_tokens", F.expr(f"{sequence}L + (first + rank) * {whole}L").alias("base"), F.posexplode(F.expr(f"slice(crcs, 1, int(doc_tokens div {LENGTH}))")).alias("j", "ids_crc32"))
     full = full.select("doc_id", F.expr(f"j * {LENGTH}L").alias("start"), F.lit(LENGTH).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("base") + F.col("j")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return items.select(*full.columns).unionByName(full)

@@ -468,3 +468,30 @@ def test_patterns_hold_every_item():
             for s, n in pattern.items():
                 got[s] += n * times
         assert dict(got) == demand
+
+
+@pytest.mark.parametrize("tokens", [273, 1376, 2112, 4095])
+def test_packing_cuts_documents_of_one_length(spark, tokens):
+    """What no pattern fills is cut: little padding, whole documents, right checksums, however the lengths fall."""
+    import numpy as np
+
+    words = ["the", "of", "and", "to", "in"]
+    encoder = packing.WordIds(packing.tokenizer_path())
+    texts = [" ".join(words[(i + j * j) % 5] for j in range(tokens - 1)) for i in range(600)]
+    ids = [np.frombuffer(x, "<u4") for x in encoder.encode(texts)]
+    assert {len(x) for x in ids} == {tokens}
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in out:
+        x = ids[r["doc_id"]]
+        assert r["doc_tokens"] == tokens and r["ids_crc32"] == zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes())
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(pieces) == 600
+    for held, end in [*((p, tokens) for p in pieces.values()), *((s, None) for s in sequences.values())]:
+        at = 0
+        for start, n in sorted(held):
+            assert start == at and n > 0
+            at += n
+        assert at == end if end else at <= 4096
+    assert 600 * tokens >= 0.98 * 4096 * (len(sequences) - 1)
