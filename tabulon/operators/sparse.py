@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulon.functions import elementwise as E
+from tabulon.operators import sparse_product
 from tabulon.operators.contraction import semiring_matmul
 from tabulon.plans.tensor import ShapeError, Tensor
 
@@ -59,8 +60,10 @@ class Sparse:
     def div(self, other: Sparse) -> Sparse: return self._meet(other, E.ieee_div)
 
     def matmul(self, other: Sparse) -> Sparse:
-        out = semiring_matmul(self.tensor(), other.tensor()).df.where(F.abs("v") >= ZERO)
-        return Sparse(out.select(F.col("i0").alias("row"), F.col("i1").alias("col"), "v"), (self.shape[0], other.shape[1]))
+        """Sparse product over a grid of blocks; the matrices are read several times, so save a costly one first."""
+        if self.shape[1] != other.shape[0]:
+            raise ShapeError(f"{self.shape} by {other.shape}")
+        return Sparse(sparse_product.multiply(self.df, other.df), (self.shape[0], other.shape[1]))
 
     def spmv(self, x: Tensor) -> Tensor:
         """Matrix by vector; every row is in the result."""

@@ -8,6 +8,7 @@ from tabulon.operators import contraction as C
 from tabulon.operators import distance, indexing, linalg, neural, sorting, stats, tensor_decompose, transforms
 from tabulon.operators import sparse as S
 from tabulon.plans import tensor as T
+from tabulon.plans.scratch import Scratch
 from tabulon.plans.tensor import Tensor
 from tabulon.sources import random as R
 
@@ -39,6 +40,11 @@ def parts(spark, sf_dir) -> S.Sparse:
     return S.Sparse.summed(n.select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("v")), (top[0] + 1, top[1] + 1))
 
 
+def saved(a: S.Sparse) -> S.Sparse:
+    """A matrix as a written table, for operators that read it several times."""
+    return S.Sparse(Scratch(a.df.sparkSession).save(a.df, "matrix"), a.shape)
+
+
 def class_sums(spark, sf_dir) -> Tensor:
     """Sum of the vectors of each class, classes x 64."""
     labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("i0"), F.col("label").alias("v"))
@@ -303,7 +309,7 @@ q("sparse_add", f"WITH {FL} SELECT \"row\", col, {r('sum(v)', 3)} AS v FROM (SEL
 q("sparse_sub", f"WITH {FL} SELECT \"row\", col, {r('sum(v)', 3)} AS v FROM (SELECT * FROM f UNION ALL SELECT col + 1, \"row\" + 1, -v FROM f WHERE col < 24 AND \"row\" < 24) GROUP BY 1, 2", 3)(lambda s, d: (lambda a: a.sub(S.Sparse(a.transpose().df.where("row < 24 AND col < 24").select((F.col("row") + 1).alias("row"), (F.col("col") + 1).alias("col"), "v"), a.shape)))(flows(s, d)))
 q("sparse_mul", f"WITH {FL} SELECT a.\"row\", a.col, {r('a.v * b.v', 3)} AS v FROM f a JOIN f b ON a.\"row\" = b.col AND a.col = b.\"row\"", 3)(lambda s, d: (lambda a: a.mul(a.transpose()))(flows(s, d)))
 q("sparse_div", f"WITH {FL} SELECT a.\"row\", a.col, {r('a.v / b.v', 3)} AS v FROM f a JOIN f b ON a.\"row\" = b.col AND a.col = b.\"row\"", 3)(lambda s, d: (lambda a: a.div(a.transpose()))(flows(s, d)))
-q("sparse_matmul", f"WITH {PA} SELECT a.\"row\", b.\"row\" AS col, {r('sum(a.v * b.v)', 2)} AS v FROM p a JOIN p b ON a.col = b.col GROUP BY 1, 2", 2)(lambda s, d: (lambda a: a.matmul(a.transpose()))(parts(s, d)))
+q("sparse_matmul", f"WITH {PA} SELECT a.\"row\", b.\"row\" AS col, {r('sum(a.v * b.v)', 2)} AS v FROM p a JOIN p b ON a.col = b.col GROUP BY 1, 2", 2)(lambda s, d: (lambda a: a.matmul(a.transpose()))(saved(parts(s, d))))
 q("sparse_scale", f"WITH {FL} SELECT \"row\", col, {r('v * 2.5', 3)} AS v FROM f", 3)(lambda s, d: flows(s, d).scale(2.5))
 q("sparse_scalar_add", f"WITH {FL} SELECT \"row\", col, {r('v + 1', 3)} AS v FROM f", 3)(lambda s, d: flows(s, d).scalar_add(1))
 q("sparse_sum", f"WITH {PA} SELECT {r('sum(v)', 2)} AS v FROM p", 2)(lambda s, d: parts(s, d).sum())
