@@ -2,7 +2,8 @@
 
 A row holds one index of the long mode and the cells of all others, a slice. In both decompositions the long factor is the unfolding times a small
 matrix W (slice cells by rank), so every task makes its rows of it on the way and no join brings it back to the slices. One pass over the slices sums
-F'X and F'F for F = X W within tasks, which is all that the other factors' updates need: a sweep is one pass without a shuffle of cells. What reaches
+F'X and F'F for F = X W within tasks, which is all that the other factors' updates need: a sweep is one pass without a shuffle of cells. Slices of up to REDUCE cells take one pass in all,
+as the same sums come from the R of the unfolding's QR. What reaches
 the driver are rank x slice sums and factors of the small modes, whose sizes don't grow with the long mode.
 """
 
@@ -23,6 +24,8 @@ from tabulon.plans.tensor import ShapeError, Tensor
 
 #: Partial results that one task adds or stacks, and bytes of slices held as one dense block.
 FAN, BLOCK_BYTES = 32, 32 << 20
+#: Slices of at most so many cells are replaced by the R of their unfolding, at most 2 MB, for the sweeps of CP.
+REDUCE = 512
 
 
 @dataclass(frozen=True)
@@ -168,15 +171,21 @@ def cp(x: Slices, rank: int, sweeps: int = 25, tolerance: float = 0.0, seed: int
     """Alternating least squares, the long factor first in each sweep; it ends early when the relative error falls by at most `tolerance`.
 
     error: root of the sum of squared differences over that of X (0 for a tensor of zeros). The factors of the small modes have columns of length
-    one. A sweep reads the slices once; the last one's error comes from its own sums.
+    one. A sweep reads the slices once (short ones: all sweeps together do); the last one's error comes from its own sums.
     """
+    if sweeps < 1:
+        raise ValueError("at least one sweep")
     rng = np.random.default_rng(seed)
     small = [np.array(f, float) for f in start] if start is not None else [rng.standard_normal((n, rank)) for n in x.shape]
     grams = [f.T @ f for f in small]
+    sums = lambda w: projected(x, w)
+    if x.width <= REDUCE:
+        r = last_r(x, np.eye(x.width))
+        sums = lambda w: ((r @ w).T @ r, (r @ w).T @ (r @ w), float((r * r).sum()))
     error, w, d = np.inf, np.zeros((x.width, rank)), len(x.shape)
     for _ in range(sweeps):
         w = khatri_rao(small) @ np.linalg.pinv(np.prod(grams, axis=0))
-        fx, ff, xx = projected(x, w)
+        fx, ff, xx = sums(w)
         cube = fx.reshape(rank, *x.shape)
         for k in range(d):
             m = cube
@@ -190,8 +199,6 @@ def cp(x: Slices, rank: int, sweeps: int = 25, tolerance: float = 0.0, seed: int
         before, error = error, np.sqrt(max(xx - 2 * inner + norm, 0) / xx) if xx > 0 else 0.0
         if before - error <= tolerance and np.isfinite(before) and tolerance > 0:
             break
-    else:
-        ff = ff if sweeps else np.eye(rank)
     lengths = [np.sqrt(np.diag(g)) for g in grams]
     first = np.sqrt(np.maximum(np.diag(ff), 0))
     unit = lambda a, n: a / np.where(n > 0, n, 1)
@@ -245,6 +252,6 @@ def _long(x: Slices, factors: Sequence[np.ndarray], rank: int) -> tuple[np.ndarr
     """W of the long factor's leading left vectors given the others, and F'X."""
     inside = kronecker(factors)
     _, s, vt = np.linalg.svd(last_r(x, inside))
-    keep = min(rank, int((s > 1e-12 * max(s[0], 1e-300)).sum()))
-    w = inside @ (vt[:keep].T / s[:keep])
+    keep = max(1, min(rank, int((s > 1e-12 * s[0]).sum())))  # a tensor of zeros keeps one term of zeros
+    w = inside @ (vt[:keep].T / np.where(s[:keep] > 0, s[:keep], 1))
     return w, projected(x, w)[0]

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulon.operators import blocked, contraction, iterative, long_fft, multigrid, sparse_levels, tall
+from tabulon.operators import blocked, contraction, iterative, long_decompose, long_fft, multigrid, sparse_levels, tall
 from tabulon.operators.blocked import Blocks
 from tabulon.operators.sparse import Sparse
 from tabulon.plans.tensor import Tensor
@@ -199,3 +199,38 @@ q("long_fft_inverse", f"WITH {_LENGTH} SELECT g AS i, {r('coalesce(value, 0)', 5
 q("long_fft_frequencies", f"WITH {_LENGTH} SELECT k, {r('sum(value * cos(2 * pi() * ((event_id * k) % n) / n))', 4)} AS re, {r('-sum(value * sin(2 * pi() * ((event_id * k) % n) / n))', 4)} AS im FROM events, n, (SELECT g * 97 AS k FROM range((SELECT n // 97 + 1 FROM n)) t(g)) WHERE k < n GROUP BY k, n", lambda s, d: (lambda e, n: long_fft.fft(e.select("i", F.col("v").alias("re"), F.lit(0.0).alias("im")), n).where("k % 97 = 0"))(*event_vector(s, d)), 4)
 q("long_fft_parseval", f"SELECT {r('sum(value * value)', 3)} AS v FROM events", lambda s, d: (lambda e, n: long_fft.fft(e.select("i", F.col("v").alias("re"), F.lit(0.0).alias("im")), n).agg((F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / n).alias("v")))(*event_vector(s, d)), 3)
 q("long_rfft_inverse", f"WITH {_LENGTH} SELECT g AS i, {r('coalesce(value, 0)', 5)} AS v FROM range((SELECT n FROM n)) t(g) LEFT JOIN events ON event_id = g", lambda s, d: (lambda e, n: long_fft.irfft(long_fft.rfft(e, n), n))(*event_vector(s, d)))
+
+
+# all embeddings as one n x 8 x 8 tensor, its first mode as a table
+def slices(s, d) -> long_decompose.Slices: return long_decompose.Slices.of(vectors(s, d), (8, 8))
+
+
+def _crossed(rows, k: int) -> Tensor:
+    t = Tensor.rows(rows, "i", "vec", rows.count(), k)
+    return contraction.semiring_matmul(t.transpose(), t)
+
+
+def _energy(f):
+    """Squares of the reconstruction and of what it misses, which are orthogonal; and whether the stated error is that of the rows."""
+    both = f.x.rows.join(f.reconstruct().select("i", F.col("vec").alias("made")), "i").select(F.explode(F.arrays_zip("vec", "made")).alias("e"))
+    miss = F.col("e.vec") - F.col("e.made")
+    sums = both.agg(F.sum(F.col("e.made") * F.col("e.made")).alias("made"), F.sum(miss * miss).alias("miss"), F.sum(F.col("e.vec") * F.col("e.vec")).alias("all"))
+    return sums.select((F.col("made") + F.col("miss")).alias("v"), (F.abs(F.col("miss") / F.col("all") - f.error**2) < 1e-8).alias("stated"))
+
+
+_ENERGY = f"WITH {M} SELECT {r('sum(v * v)', 3)} AS v, true AS stated FROM m"
+q("long_tucker_full", _ALL, lambda s, d: (lambda x: Tensor.rows(long_decompose.tucker(x, (64, 8, 8), 0).reconstruct(), "i", "vec", x.rows.count(), 64))(slices(s, d)))
+q("long_tucker_orthogonal", "SELECT a AS i0, b AS i1, CASE WHEN a = b THEN 1.0 ELSE 0.0 END AS v FROM range(12) t(a), range(12) u(b)", lambda s, d: _crossed(long_decompose.tucker(slices(s, d), (12, 5, 6), 2).long_factor(), 12))
+q("long_tucker_energy", _ENERGY, lambda s, d: _energy(long_decompose.tucker(slices(s, d), (8, 4, 4), 2)), 3)
+q("long_cp_energy", _ENERGY, lambda s, d: _energy(long_decompose.cp(slices(s, d), 4, 4)), 3)
+
+
+def _planted(s, d):
+    """A tensor of two terms, n x 4 x 5, out of two components of each vector; alternating least squares finds it again."""
+    e = vectors(s, d)
+    x, y = F.col("vec")[0].cast("double"), F.col("vec")[1].cast("double")
+    rows = e.select("i", F.array(*(x * ((j + 1) * (k + 2) / 10) + y * float((j % 3 - 1) * (k % 2 + 1)) for j in range(4) for k in range(5))).alias("vec"))
+    return Tensor.rows(long_decompose.cp(long_decompose.Slices.of(rows, (4, 5)), 2, 500, 1e-12).reconstruct(), "i", "vec", rows.count(), 20)
+
+
+q("long_cp_planted", f"WITH {M} SELECT a.i0, CAST(j * 5 + k AS BIGINT) AS i1, {r('a.v * (j + 1) * (k + 2) / 10 + b.v * (j % 3 - 1) * (k % 2 + 1)', 3)} AS v FROM m a JOIN m b ON a.i0 = b.i0 AND a.i1 = 0 AND b.i1 = 1, range(4) t(j), range(5) u(k)", _planted, 3)
