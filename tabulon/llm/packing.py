@@ -27,14 +27,17 @@ from pyspark.sql import functions as F
 from tabulon.llm.common import Scratch, bucket_count, documents, hash_bucket, in_buckets
 
 LENGTH, END_ID, STEP = 4096, 2, 16
-#: Words whose ids a task remembers (about 200 MB), and characters of text whose new words are looked up together.
-REMEMBERED, TOGETHER = 1_000_000, 1 << 20
+#: Words whose ids a task remembers (about 200 MB); beyond it, it starts anew.
+REMEMBERED = 1_000_000
+#: Marks that are a token run of their own behind a letter or digit.
+MARKS = ".,;:!?#$%&*"
 #: Columns that enter the linear program at most (its patterns are usable after each), and those that one pricing brings among the first EARLY; later all count.
 COLUMNS, TAKEN, EARLY = 6000, 12, 1000
 #: The program ends when its sequences are at most so much over the optimum (the best price bounds it).
 GAP = 0.005
 #: Patterns filled less than this are not used; their documents are cut, at multiples of CUT tokens.
 TIGHT, CUT = 0.98, 32
+_IDS = [struct.Struct(f"<{n}I") for n in range(32)]
 _SEPARATORS = {"\x1c", "\x1d", "\x1e", "\x1f"}
 
 
@@ -62,31 +65,28 @@ class WordIds(dict):
         others = [b for b in range(256) if b not in printing]
         self.spelling = {b: 0x100 + i for i, b in enumerate(others)}
 
-    def parts(self, word: str) -> list[str]:
-        """Parts whose ids, one behind another, are the word's."""
-        bare = word.rstrip(".,;:!?")
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        bare = word.rstrip(MARKS)
         # letters up to U+024F are letters in every version of Unicode; U+0130 is lowered to a letter and a mark, which joins what follows
-        cut = bare and bare != word and bare[-1].isalnum() and bare[-1] < "\u0250" and bare[-1] != "\u0130"
-        out = [bare, word[len(bare) :]] if cut else [word]
-        return [p.lower() if p.isascii() and "|" not in p else p for p in out]
+        if bare and bare != word and bare[-1].isalnum() and bare[-1] < "\u0250" and bare[-1] != "\u0130":
+            ids = self[bare] + self[word[len(bare) :]]
+        else:
+            letters = word.isalpha() and max(word) < "\u0180" and "\u0130" not in word
+            lower = word.lower() if letters or word.isascii() and "|" not in word else word
+            ids = self[lower] if lower != word else self.look_up(word, letters)
+        self[word] = ids
+        return ids
 
-    def look_up(self, part: str) -> bytes:
+    def look_up(self, part: str, letters: bool) -> bytes:
         # a run of letters in lower case, of those that no normalization changes, is one word of the model; anything else takes the whole way
-        if part.isalpha() and max(part) < "\u0180" and part == part.lower():
+        if letters:
             spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.spelling)
             ids = [t.id for t in self.encoder.model.tokenize(spelled)]
         else:
             ids = self.encoder.encode(part, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def learn(self, words: set[str]) -> None:
-        for word in words:
-            parts = self.parts(word)
-            for part in parts:
-                if part not in self:
-                    self[part] = self.look_up(part)
-            if word not in self:
-                self[word] = b"".join([self[p] for p in parts])
+        return np.array(ids, "<u4").tobytes() if len(ids) >= len(_IDS) else _IDS[len(ids)].pack(*ids)
 
     def words(self, text: str) -> list[str]:
         # str.split also splits at four control characters that the tokenizer takes as symbols
@@ -98,19 +98,8 @@ class WordIds(dict):
 
     def encode(self, texts: list[str]):
         """The ids of each text, with the end, in order."""
-        at = 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and size < TOGETHER:
-                size += len(texts[to])
-                to += 1
-            split = [self.words(t) for t in texts[at:to]]
-            if len(self) > REMEMBERED:
-                self.clear()
-            self.learn(set().union(*split).difference(self))
-            for words in split:
-                yield b"".join([self[w] for w in words]) + self.end
-            at = to
+        for text in texts:
+            yield b"".join(map(self.__getitem__, self.words(text))) + self.end
 
 
 _ENCODERS: dict[str, WordIds] = {}
