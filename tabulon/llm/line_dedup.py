@@ -71,10 +71,10 @@ def signatures(shingles: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndar
     return np.ascontiguousarray(bands.T), sketch
 
 
-def lines_of(column: pa.Array, signed: bool = True):
+def lines_of(column: pa.Array, signed: bool = True, places: bool = False):
     """(text, number of the line in its text, 64-bit hash) of all lines with a word, as arrays, about PIECE bytes of text at a time.
 
-    If signed: (hash, band hashes, sketch) of the different ones instead.
+    If signed: (hash, band hashes, sketch) of the different ones instead, or behind these if places are wanted too.
     """
     for row, data, offsets in textkernels.chunks(column, PIECE):
         if not len(data):
@@ -100,9 +100,12 @@ def lines_of(column: pa.Array, signed: bool = True):
         h = sums[ends - 1]
         h[starts > 0] -= sums[starts[starts > 0] - 1]
         h = textkernels.mix(h * down[starts])
-        if not signed:
+        place = ()
+        if places or not signed:
             text = np.searchsorted(at, starts, "right") - 1
-            yield row + text, np.searchsorted(newlines, starts) - np.searchsorted(newlines, at[text]), h
+            place = row + text, np.searchsorted(newlines, starts) - np.searchsorted(newlines, at[text]), h
+        if not signed:
+            yield place
             continue
         once = np.sort(np.unique(h, return_index=True)[1])
         h, starts, ends = h[once], starts[once], ends[once]
@@ -118,19 +121,7 @@ def lines_of(column: pa.Array, signed: bool = True):
         turns = np.stack([count, np.r_[starts[1:], total] - starts - count], 1).ravel()
         owner = np.repeat(np.stack([np.arange(len(starts)), np.full(len(starts), len(starts))], 1).ravel(), turns)
         s = s[starts[0] :]
-        yield h, *signatures(s, owner, len(starts))
-
-
-def _occurrences(rows: DataFrame) -> DataFrame:
-    """doc_id, key, number and line (hash) of every line with a word; rows: doc_id, key, text."""
-
-    def run(batches):
-        for batch in batches:
-            for text, number, h in lines_of(batch.column(2), signed=False):
-                at = pa.array(text)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "key", "number", "line"])
-
-    return rows.mapInArrow(run, "doc_id long, key long, number int, line long")
+        yield *place, h, *signatures(s, owner, len(starts))
 
 
 def _surplus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -143,6 +134,7 @@ def _surplus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 _RECORD = np.dtype([("bucket", "<u8"), ("line", "<i8"), ("sketch", "<u8", 2)])
+_PLACE = np.dtype([("doc_id", "<i8"), ("key", "<i8"), ("line", "<i8"), ("number", "<i4"), ("none", "?")])
 
 
 def _pairs(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,14 +162,16 @@ def _pairs(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(pairs), axis=0), np.concatenate(leads)
 
 
-def _leads(rows: DataFrame, records: int) -> DataFrame:
-    """lead and line of lines that share a bucket with a lesser line of similar sketch, its lead; a bucket has a lead for each sort of lines.
+def _lines_and_leads(rows: DataFrame, records: int) -> DataFrame:
+    """doc_id, key, number and line (hash) of every line with a word (lead: null), and lead and line (all else null) of lines that share a bucket with a lesser one of similar sketch.
 
-    rows: text; records: about how many there are of (bucket, line). They travel packed, and are paired before and behind the shuffle.
+    That one is its lead; a bucket has a lead for each sort of lines. rows: doc_id, key, text; records: about how many there are of (bucket, line).
+    They travel packed, and are paired before and behind the shuffle; the places of lines travel with them in even parts, so texts are parsed once.
     """
     parts = partitions(rows.sparkSession, records, PART)
+    names = ["doc_id", "key", "number", "line", "lead"]
 
-    def emit(held):
+    def emit(held, places):
         pairs, leads = _pairs(np.concatenate(held))
         cells = {}
         for which, key, packed in ((0, pairs[:, 0].view(np.uint64), pairs), (1, leads["bucket"], leads)):
@@ -187,35 +181,45 @@ def _leads(rows: DataFrame, records: int) -> DataFrame:
             cuts = [0, *np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
             for a, z in zip(cuts[:-1], cuts[1:], strict=True) if len(block) else ():
                 cells.setdefault(int(block[a]), [b"", b""])[which] = packed[a:z].tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(list(cells), pa.int32()), *(pa.array([c[k] for c in cells.values()], pa.binary()) for k in (0, 1))], ["block", "pairs", "leads"])
+        spread = [p.tobytes() for p in np.array_split(np.concatenate(places), len(cells))]
+        yield pa.RecordBatch.from_arrays([pa.array(list(cells), pa.int32()), *(pa.array([c[k] for c in cells.values()], pa.binary()) for k in (0, 1)), pa.array(spread, pa.binary())], ["block", "pairs", "leads", "places"])
 
     def gather(batches):
-        held, size = [], 0
+        held, places, size = [], [], 0
         for batch in batches:
-            for h, bands, sketch in lines_of(batch.column(0)):
-                records = np.empty(bands.size, _RECORD)
+            none = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            doc_id, key = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
+            for text, number, line, h, bands, sketch in lines_of(batch.column(2), places=True):
+                records, place = np.empty(bands.size, _RECORD), np.empty(len(line), _PLACE)
                 records["bucket"], records["line"], records["sketch"] = bands.ravel(), np.repeat(h.view(np.int64), BANDS), np.repeat(sketch, BANDS, axis=0)
+                place["doc_id"], place["key"], place["line"], place["number"], place["none"] = doc_id[text], key[text], line.view(np.int64), number, none[text]
                 held.append(records)
-                size += len(records)
+                places.append(place)
+                size += len(records) + len(place)
                 if size >= GATHERED:
-                    yield from emit(held)
-                    held, size = [], 0
+                    yield from emit(held, places)
+                    held, places, size = [], [], 0
         if held:
-            yield from emit(held)
+            yield from emit(held, places)
+
+    def of_pairs(pairs):
+        none = pa.nulls(len(pairs), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(pairs), pa.int32()), pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], names)
 
     def pair(batches):
         blocks = {}
         for batch in batches:
-            for block, pairs, leads in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                pairs = np.frombuffer(pairs, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["lead", "line"])
+            cells = dict(zip(batch.schema.names, (c.to_pylist() for c in batch.columns), strict=True))
+            p = np.frombuffer(b"".join(cells["places"]), _PLACE)
+            yield pa.RecordBatch.from_arrays([pa.array(p["doc_id"], mask=p["none"]), pa.array(p["key"]), pa.array(p["number"]), pa.array(p["line"]), pa.nulls(len(p), pa.int64())], names)
+            yield of_pairs(np.frombuffer(b"".join(cells["pairs"]), np.int64).reshape(-1, 2))
+            for block, leads in zip(cells["block"], cells["leads"], strict=True):
                 blocks.setdefault(block, []).append(np.frombuffer(leads, _RECORD))
         for block in list(blocks):
-            pairs, _ = _pairs(np.concatenate(blocks.pop(block)))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["lead", "line"])
+            yield of_pairs(_pairs(np.concatenate(blocks.pop(block)))[0])
 
-    packed = rows.select("text").mapInArrow(gather, "block int, pairs binary, leads binary")
-    return packed.repartition(parts, "block").mapInArrow(pair, "lead long, line long").distinct()
+    packed = rows.select("doc_id", "key", "text").mapInArrow(gather, "block int, pairs binary, leads binary, places binary")
+    return packed.repartition(parts, "block").mapInArrow(pair, "doc_id long, key long, number int, line long, lead long")
 
 
 def _grams(t: str) -> set:
@@ -250,8 +254,10 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     """doc_id, key (hash of doc_id and text), removed (numbers of the lines to remove, from 0, ascending) of documents that lose lines."""
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text").where("text IS NOT NULL")
-    lines = scratch.save(_occurrences(rows), "lines")
-    leads = scratch.save(_leads(rows, lines.count() * BANDS), "leads")
+    n = rows.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    both = scratch.save(_lines_and_leads(rows, n * BANDS), "lines")
+    lines = both.where("number IS NOT NULL").select("doc_id", "key", "number", "line")
+    leads = scratch.save(both.where("lead IS NOT NULL").select("lead", "line").distinct(), "leads")
     first = F.min(F.struct("doc_id", "key", "number"))
     paired = scratch.save(leads.select(F.explode(F.array("lead", "line")).alias("line")).distinct(), "paired")
     wanted = lines.join(checked_broadcast(paired), "line", "left_semi").groupBy("line").agg(first.alias("f"))
