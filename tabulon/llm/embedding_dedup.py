@@ -5,7 +5,7 @@ and each meets the few rows beside it, so a dense spot costs no more than any ot
 with each other, and each keeps its best K. Lists that are full of links (saturated) are enlarged: a component of links is compared within itself,
 in blocks, so its links are exact at any size and only counts leave a block. Recall is audited against brute force for bounded samples of
 vectors without, with few and with many known links, each vector counting once; while it is below RECALL, the graph starts again with more
-rotations and their links are added. If it stays below, all vectors are compared in blocks, or, where they are over EXACT, the operator fails.
+rotations and their links are added. If it stays below, all vectors are compared in blocks, however many they are.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import graph
@@ -24,8 +24,10 @@ TABLES, AXES, BESIDE = 8, 3, 4
 ROUNDS, SETTLED = 4, 0.01
 AUDIT, RECALL, TRIES = 200, 0.99, 3
 BLOCK = 512
-#: Vectors that may all be compared with each other when the audit fails.
-EXACT = 50_000
+#: Blocks of across() have so many rows, of long vectors as many as hold so many parts, and are compared STRIP rows at a time.
+WIDE, WIDE_PARTS, STRIP = 4096, 1 << 19, 512
+#: A caller's own bound on the vectors that are all compared when the audit fails, beyond which it is told the recall instead; none is set.
+EXACT = None
 SEED = 7
 
 
@@ -128,12 +130,12 @@ def refine(vectors: DataFrame, lists: DataFrame, k: int = K) -> DataFrame:
     return rows.select("l").mapInArrow(run, "u long, v long, s double").distinct()
 
 
-def _cells(rows: DataFrame, *also: str) -> DataFrame:
+def _cells(rows: DataFrame, block: Column, *also: str) -> DataFrame:
     """p, q and l (x, u, vec and the columns `also` of members) for every two blocks of a component; rows: component, n (its size), u, vec.
 
-    Members are dealt into blocks of about BLOCK and every two blocks of a component meet once, so a component of any size is many tasks' work.
+    Members are dealt into blocks of about `block` and every two blocks of a component meet once, so a component of any size is many tasks' work.
     """
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     rows = rows.withColumn("x", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
     meets = rows.select("component", "blocks", "x", "u", *also, "vec", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
     cells = meets.groupBy("component", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).agg(F.collect_list(F.struct("x", "u", *also, "vec")).alias("l"))
@@ -143,7 +145,7 @@ def _cells(rows: DataFrame, *also: str) -> DataFrame:
 def enlarge(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     """u and links (copies of other vectors that it links with) of every node of a component; labels: node, component."""
     sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
-    cells = _cells(vectors.join(labels.withColumnRenamed("node", "u"), "u").join(sizes, "component"), "copies")
+    cells = _cells(vectors.join(labels.withColumnRenamed("node", "u"), "u").join(sizes, "component"), F.lit(BLOCK), "copies")
 
     def run(batches):
         for batch in batches:
@@ -163,11 +165,28 @@ def enlarge(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     return cells.mapInArrow(run, "u long, links long").groupBy("u").agg(F.sum("links").alias("links"))
 
 
+def _unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the trees of nodes i[k] and j[k] in root, which holds each node's tree (its least node), in place."""
+    while True:
+        i, j = root[i], root[j]
+        apart = i != j
+        if not apart.any():
+            return
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root[:] = up
+
+
 def across(vectors: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of components (a vector without one is its own) that a link joins, all vectors of a length being compared; labels: node, component."""
+    """Pairs (a, b) of components (a vector without one is its own), enough to merge those that a link joins, all vectors of a length being compared; labels: node, component.
+
+    A cell returns fewer pairs than it has rows, whatever it finds.
+    """
     sizes = vectors.groupBy("dim").agg(F.count("*").alias("n"))
     rows = vectors.join(labels.withColumnRenamed("node", "u"), "u", "left").withColumn("label", F.coalesce("component", "u")).drop("component")
-    cells = _cells(rows.join(sizes, "dim").withColumnRenamed("dim", "component"), "label")
+    block = F.greatest(F.lit(1), F.least(F.lit(WIDE), F.floor(F.lit(WIDE_PARTS) / F.col("component"))))
+    cells = _cells(rows.join(sizes, "dim").withColumnRenamed("dim", "component"), block, "label")
 
     def run(batches):
         for batch in batches:
@@ -177,10 +196,14 @@ def across(vectors: DataFrame, labels: DataFrame) -> DataFrame:
             for a, b, p, q in zip(bounds[:-1] - bounds[0], bounds[1:] - bounds[0], first, last, strict=True):
                 rows = unit_rows(flat.field("vec").slice(a, b - a))
                 left, right = (np.flatnonzero(x[a:b] == z) for z in (p, q))
-                i, j = np.nonzero((rows[left] @ rows[right].T) >= COSINE)
-                i, j = label[a:b][left[i]], label[a:b][right[j]]
-                pairs = np.unique(np.stack([i, j], 1)[i != j], axis=0)
-                yield _record(a=pairs[:, 0], b=pairs[:, 1])
+                names, place = np.unique(label[a:b], return_inverse=True)
+                root, other = np.arange(len(names)), rows[right].T
+                for at in range(0, len(left), STRIP):
+                    some = left[at : at + STRIP]
+                    i, j = np.nonzero((rows[some] @ other) >= COSINE)
+                    _unite(root, place[some[i]], place[right[j]])
+                merged = np.flatnonzero(root != np.arange(len(root)))
+                yield _record(a=names[root[merged]], b=names[merged])
 
     return cells.mapInArrow(run, "a long, b long").distinct()
 
@@ -270,7 +293,7 @@ def near_dedup(rows: DataFrame, k: int = K) -> DataFrame:
         if recall >= RECALL:
             break
     else:
-        if n > EXACT:
+        if EXACT is not None and n > EXACT:
             raise RuntimeError(f"recall {recall:.4f} after {TRIES} starts is below {RECALL}, and {n} vectors are too many to compare all")
         # what joins components is all that enlarge() doesn't see
         edges = edges.unionByName(scratch.save(across(numbered, labels), "across"))

@@ -88,3 +88,30 @@ def test_failed_audit_ends_in_exact_links_or_an_error(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "EXACT", 10)
     with pytest.raises(RuntimeError, match="recall"):
         embedding_dedup.near_dedup(frame)
+
+
+def test_failed_audit_is_exact_at_any_size(spark, monkeypatch):
+    """No number of vectors turns the exact comparison into an error."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    group = np.repeat(np.arange(25_001), [100, *[2] * 25_000])
+    vectors = (rng.standard_normal((25_001, 32))[group] + rng.standard_normal((len(group), 32)) * 0.05).astype(np.float32)
+    least = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, vectors.size + 1, 32), pa.int32()), pa.array(vectors.ravel()))
+    frame = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(group))), "embedding": flat})).repartition(8)
+    none = spark.createDataFrame([], "u long, v long, s double")
+    monkeypatch.setattr(embedding_dedup, "start", lambda *_: none)
+    monkeypatch.setattr(embedding_dedup, "TRIES", 1)
+    out = embedding_dedup.near_dedup(frame).orderBy("vec_id").toArrow()
+    assert (out["n_links"].to_numpy() == np.bincount(group)[group] - 1).all()
+    assert (out["component_id"].to_numpy() == least[group]).all()
+
+
+def test_exact_comparison_returns_fewer_pairs_than_rows(spark, monkeypatch):
+    rows = grouped([700, 3, 1])
+    vectors = spark.createDataFrame([(i, 32, 1, v) for i, v in rows], "u long, dim int, copies long, vec array<float>")
+    labels = spark.createDataFrame([], "node long, component long")
+    monkeypatch.setattr(embedding_dedup, "STRIP", 100, raising=False)
+    pairs = embedding_dedup.across(vectors, labels).collect()
+    assert len(pairs) == 701 and {r["b"] for r in pairs if r["a"] == 0} == set(range(1, 700)) and {r["b"] for r in pairs if r["a"] == 700} == {701, 702}
