@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,28 +223,64 @@ def _lines_and_leads(rows: DataFrame, records: int) -> DataFrame:
     return packed.repartition(parts, "block").mapInArrow(pair, "doc_id long, key long, number int, line long, lead long")
 
 
-def _grams(t: str) -> set:
-    return {t[i : i + SHINGLE] for i in range(max(len(t) - SHINGLE + 1, 1))}
-
-
 def _sets(column: pa.Array) -> list[np.ndarray]:
-    return [np.array([hash(g) for g in _grams(t)], np.int64).view(np.uint64) for t in column.to_pylist()]
+    """The set of SHINGLE characters of each text, or of a shorter text as a whole, as ascending distinct numbers; two are equal if and only if the shingles are."""
+    data, offsets = textkernels.text_buffer(column)
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    total = len(points)
+    at = offsets if total == len(data) else offsets - np.searchsorted(np.flatnonzero((data & 0xC0) == 0x80), offsets)
+    starts, sizes = at[:-1].copy(), np.diff(at)
+    # short texts once more behind all others, filled with zeros, so that each is a shingle
+    short = np.flatnonzero(sizes < SHINGLE)
+    inside = np.arange(SHINGLE) < sizes[short][:, None]
+    filled = np.zeros(inside.shape, np.uint32)
+    seen = np.zeros(int(points.max(initial=0)) + 1, bool)
+    seen[points] = True
+    number = np.cumsum(seen, dtype=np.uint64)  # of a character, from 1
+    c = number[points]
+    filled[inside] = c[(starts[short][:, None] + np.arange(SHINGLE))[inside]]
+    starts[short] = total + SHINGLE * np.arange(len(short))
+    c = np.concatenate([c, filled.ravel().astype(np.uint64)])
+    m = max(len(c) - SHINGLE + 1, 0)
+    bits = int(number[-1]).bit_length()
+    if bits * SHINGLE <= 64:
+        keys = c[:m].copy()
+        for j in range(1, SHINGLE):
+            keys <<= np.uint64(bits)
+            keys |= c[j : j + m]
+    else:  # longer and longer beginnings are numbered
+        keys = c[:m]
+        for j in range(1, SHINGLE):
+            keys = np.unique(keys, return_inverse=True)[1].astype(np.uint64) << np.uint64(21) | c[j : j + m]
+    out = []
+    for a, b in zip(starts.tolist(), (starts + np.maximum(sizes - SHINGLE + 1, 1)).tolist(), strict=True):
+        k = np.sort(keys[a:b])
+        new = np.empty(len(k), bool)
+        new[0] = True
+        np.not_equal(k[1:], k[:-1], out=new[1:])
+        out.append(k[new])
+    return out
 
 
 def similar(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those pairs (a, b) of lines whose sets of SHINGLE characters have the Jaccard similarity. texts: line and its text."""
 
     def run(batches):
-        last, known = None, set()
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if x != last:
-                    last, known = x, _grams(x)
-                other = _grams(y)
-                common = len(known & other)
-                ok.append(100 * common >= percent * (len(known) + len(other) - common))
-            kept = batch.filter(pa.array(ok, pa.bool_()))
+            ends = np.cumsum(sum(pc.binary_length(batch.column(k)).to_numpy().astype(np.int64) for k in (2, 3)))
+            ok = np.zeros(len(ends), bool)
+            at = 0
+            while at < len(ends):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+                both = pa.concat_arrays([batch.column(k).slice(at, to - at) for k in (2, 3)]).dictionary_encode()
+                sets, index = _sets(both.dictionary), both.indices.to_numpy().reshape(2, -1).T.tolist()
+                for row, (x, y) in enumerate(index, at):
+                    either = np.concatenate((sets[x], sets[y]))
+                    either.sort()
+                    common = np.count_nonzero(either[1:] == either[:-1])
+                    ok[row] = 100 * common >= percent * (len(either) - common)
+                at = to
+            kept = batch.filter(pa.array(ok))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
     left, right = (texts.select(F.col("line").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")

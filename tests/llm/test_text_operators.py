@@ -495,3 +495,37 @@ def test_packing_cuts_documents_of_one_length(spark, tokens):
             at += n
         assert at == end if end else at <= 4096
     assert 600 * tokens >= 0.98 * 4096 * (len(sequences) - 1)
+
+
+def test_shingle_sets_of_lines():
+    """Numbers stand for shingles one to one, with few characters and with many, and cost a fraction of sets of strings."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    plain = lambda t: {t[i : i + 5] for i in range(max(len(t) - 4, 1))}
+    for letters in ("abä \U0001f600", "".join(map(chr, range(0x4E00, 0x4E00 + 6000)))):
+        texts = ["".join(rng.choice(list(letters), k)) for k in rng.integers(1, 40, 60)] + ["a", "ab", "abcd", "abcde", "a", letters]
+        sets, want = line_dedup._sets(pa.array(["x", *texts, "y"])[1:-1]), [plain(t) for t in texts]
+        assert [len(s) for s in sets] == [len(s) for s in want]
+        assert all(len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j]) for i in range(len(texts)) for j in range(i))
+    texts = pa.array(["".join(rng.choice(list("abcdefghij klmno"), 500)) for _ in range(1000)])
+    began = time.process_time()
+    sets = line_dedup._sets(texts)
+    middle = time.process_time()
+    want = [np.array([hash(g) for g in plain(t)]) for t in texts.to_pylist()]
+    assert [len(s) for s in sets] == [len(s) for s in want]
+    assert middle - began < 0.6 * (time.process_time() - middle)
+
+
+def test_verification_of_lines_is_exact(spark):
+    """At the limit of 0.75 itself, for repeated leads, single characters and batches of several pieces."""
+    texts = ["abcdefghijk", "abcdefghij", "abcdefghijkl", "abcdefghiX", "abcde", "abcd", "abc", "é", "e", *("".join(map(chr, range(k, k + 90_000))) for k in (0x10000, 0x10001, 0x20000))]
+    plain = [{t[i : i + 5] for i in range(max(len(t) - 4, 1))} for t in texts]
+    n = range(len(texts))
+    want = {(i, j) for i in n for j in n if 100 * len(plain[i] & plain[j]) >= 75 * len(plain[i] | plain[j])}
+    lines = spark.createDataFrame(list(enumerate(texts)), "line long, text string").coalesce(1)
+    pairs = spark.createDataFrame([(i, j) for i in n for j in n], "a long, b long")
+    assert {tuple(r) for r in line_dedup.similar(pairs, lines).collect()} == want and (9, 10) in want and (9, 11) not in want
