@@ -48,6 +48,14 @@ def test_blocks_equal_columns(odd, metric, p, rows, monkeypatch):
     same(found(skipped(distance.cdist(odd, y, metric, p))), found(skipped(plain(odd, y, metric, p))))
 
 
+@pytest.mark.parametrize("rows", [4, 256])
+def test_each_two_once(odd, rows, monkeypatch):
+    """Blocks meet once, rows of one block too; equal ids and null are no pair."""
+    monkeypatch.setattr(distance, "ROWS", rows)
+    same(found(distance.pdist(odd)), found(plain(odd, odd, "euclidean").where("i0 < i1")))
+    assert distance.pdist(odd).rdd.getNumPartitions() > 1
+
+
 def test_no_row_is_alone_in_its_task(spark, small):
     """One file of vectors is one task; the pairs are many."""
     x = distance.vectors(spark.read.parquet(f"{small}/embeddings.parquet"), "vec_id", "embedding")
