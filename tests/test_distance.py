@@ -56,6 +56,19 @@ def test_each_two_once(odd, rows, monkeypatch):
     assert distance.pdist(odd).rdd.getNumPartitions() > 1
 
 
+def test_squareform_reads_its_pairs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    pairs = spark.createDataFrame([(0, 1, 1.5), (0, 2, None), (1, 2, 2.5)], "i0 long, i1 long, v double").mapInArrow(counted, "i0 long, i1 long, v double")
+    square = {(r["i0"], r["i1"]): r["v"] for r in distance.squareform(pairs, 3).collect()}
+    assert square == {(0, 0): 0, (1, 1): 0, (2, 2): 0, (0, 1): 1.5, (1, 0): 1.5, (0, 2): None, (2, 0): None, (1, 2): 2.5, (2, 1): 2.5} and seen.value == 3
+
+
 def test_no_row_is_alone_in_its_task(spark, small):
     """One file of vectors is one task; the pairs are many."""
     x = distance.vectors(spark.read.parquet(f"{small}/embeddings.parquet"), "vec_id", "embedding")
