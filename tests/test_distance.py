@@ -35,7 +35,7 @@ def odd(spark):
     return spark.createDataFrame(ODD, "i long, vec array<double>").repartition(3).cache()
 
 
-BY_BLOCKS = [("euclidean", None), ("sqeuclidean", None), ("correlation", None), ("manhattan", None), ("chebyshev", None), ("minkowski", 1), ("minkowski", 3), ("minkowski", 2.5), ("jaccard", None), ("cosine", None)]
+BY_BLOCKS = [("euclidean", None), ("sqeuclidean", None), ("correlation", None), ("hamming", None), ("manhattan", None), ("chebyshev", None), ("minkowski", 1), ("minkowski", 3), ("minkowski", 2.5), ("jaccard", None), ("cosine", None)]
 
 
 @pytest.mark.parametrize("rows", [4, 256])
