@@ -50,6 +50,20 @@ def test_nulls_nans_and_ends(spark):
     assert abs(zero["j"] - 1) < 1e-12 and abs(zero["i"] - 1) < 1e-12 and zero["y"] == -math.inf and zero["k"] == zero["e"] == math.inf
 
 
+def test_bessel_pieces(spark):
+    """Between and at the ends of the polynomials' pieces; and a row takes few steps: ten for each of four functions, where quadratures took hundreds."""
+    x = np.unique(np.r_[np.linspace(0.003, 26, 400), np.arange(1, 101) / 4, 1e-9, 3 - 1e-12, 25 + 1e-12])
+    rows = spark.createDataFrame([(float(v),) for v in x], "x double").coalesce(1)
+    found = rows.select("x", *(getattr(series, f"bessel_{k}")(n, F.col("x")).alias(f"{k}{n}") for k in "jy" for n in (0, 1))).toPandas().sort_values("x")
+    for k in "jy":
+        for n in (0, 1):
+            want = getattr(plain, f"bessel_{k}")(n, x)
+            assert np.abs((found[f"{k}{n}"].to_numpy() - want) / (1 + np.abs(want))).max() < 1e-13, (k, n)
+    wronskian = found["j1"] * found["y0"] - found["j0"] * found["y1"]
+    assert np.abs(wronskian * np.pi * x / 2 - 1).max() < 1e-13
+    assert 4 * series.COEFFICIENTS < 96  # steps of a row of all four
+
+
 def test_no_python_in_the_plan(spark):
     plan = spark.range(3).select(series.erf(F.col("id").cast("double")), series.bessel_y(0, F.col("id").cast("double")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
