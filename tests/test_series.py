@@ -64,6 +64,17 @@ def test_bessel_pieces(spark):
     assert 4 * series.COEFFICIENTS < 96  # steps of a row of all four
 
 
+def test_inverse_of_the_incomplete_beta(monkeypatch):
+    """All rows at once, against bisection row by row."""
+    rng = np.random.default_rng(4)
+    a, b, p = np.r_[rng.random(40) * 6 + 0.05, rng.random(10) * 200], np.r_[rng.random(40) * 6 + 0.05, rng.random(10) * 300], np.r_[rng.random(40), 10.0 ** -(rng.random(10) * 12)]
+    want = np.array([plain._bisect(lambda t, x=x, y=y, q=q: plain._betainc(x, y, t) - q, 0.0, 1.0) for x, y, q in zip(a, b, p, strict=True)])
+    monkeypatch.setattr(plain, "_betainc", None)
+    assert np.allclose(plain.betaincinv(a, b, p), want, rtol=1e-11, atol=0)
+    ends = plain.betaincinv(np.array([1, 2, 0, 1, 1, np.nan, 1]), np.array([1, 3, 1, -1, 1, 1, 1]), np.array([0, 1, 0.5, 0.5, 1.5, 0.5, 0.25]))
+    assert np.array_equal(ends, [0, 1, np.nan, np.nan, np.nan, np.nan, 0.25], equal_nan=True) and len(plain.betaincinv([], [], [])) == 0
+
+
 def test_no_python_in_the_plan(spark):
     plan = spark.range(3).select(series.erf(F.col("id").cast("double")), series.bessel_y(0, F.col("id").cast("double")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
