@@ -72,6 +72,7 @@ def test_inverse_of_the_incomplete_beta(monkeypatch):
     monkeypatch.setattr(plain, "_betainc", None)
     assert np.allclose(plain.betaincinv(a, b, p), want, rtol=1e-11, atol=0)
     ends = plain.betaincinv(np.array([1, 2, 0, 1, 1, np.nan, 1]), np.array([1, 3, 1, -1, 1, 1, 1]), np.array([0, 1, 0.5, 0.5, 1.5, 0.5, 0.25]))
+    assert np.allclose(plain.betainc(a, b, plain.betaincinv(a, b, p)), p, rtol=1e-7, atol=0)
     assert np.array_equal(ends, [0, 1, np.nan, np.nan, np.nan, np.nan, 0.25], equal_nan=True) and len(plain.betaincinv([], [], [])) == 0
 
 
