@@ -82,3 +82,21 @@ def test_heavy_lines_leave_no_heavy_block(spark):
     packed = heavy.select("row", "col", "v").mapInArrow(sparse_product._pack(0, edges, grid, 1), "block long, side int, ends binary, inner binary, vs binary")
     sizes = [r[1] for r in packed.selectExpr("block", "length(vs) div 8 AS n").groupBy("block").sum("n").collect()]
     assert sum(sizes) == 12_000 and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_rows_take_turns(spark, monkeypatch):
+    """No more sums are held than a turn makes, unless one row makes more; the cells stay whole and come once."""
+    monkeypatch.setattr(sparse_product, "TURN", 40)
+    a, b = matrices(5)
+    sides = []
+    for m in (a, b.T):
+        i, j = np.nonzero(m)
+        order = np.argsort(j, kind="stable")
+        sides.append((i[order], j[order], m[i, j][order]))
+    turns = list(sparse_product.in_turns(*sides))
+    out = np.zeros((40, 50))
+    for row, col, v in turns:
+        assert not out[row, col].any()
+        out[row, col] = v
+    assert np.allclose(out, a @ b) and len(turns) > 5
+    assert np.allclose(dense(sparse_product.multiply(table(spark, a), table(spark, b), Grid(1, 1, 1)), (40, 50)), a @ b)
